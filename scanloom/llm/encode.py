@@ -4,29 +4,47 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
-#: Words remembered per worker; the table starts anew when it is full, so memory is bounded.
-REMEMBERED = 400_000
+#: Words and pieces remembered per worker; of each there are two generations of half the size, so memory is bounded.
+REMEMBERED = 800_000
 LONGEST_REMEMBERED = 48
 _SEPARATORS = "\x1c", "\x1d", "\x1e", "\x1f"
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
+#: Words of these characters (no digits but 0-9, no letter whose lower case has two) need no normaliser but lower().
+_LATIN = re.compile("[!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u017f]+")
+#: The file's own splitting pattern on such words; must equal what `_splits_at_white_space` checks.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 _workers: dict[str, "WordEncoder"] = {}
 
 
-class _Words(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the next unused one from 256."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return [chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)]
+
+
+class _Remembered(dict):
+    """A dict that computes missing values; when full its entries become the old generation, and older ones go."""
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.old = compute, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
+            self[key] = value
+        return value
 
 
 class WordEncoder:
@@ -49,7 +67,10 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_words = self._splits_at_white_space(spec)
-        self.words = _Words(self.tokenizer.encode)
+        self.words = _Remembered(self._word)
+        self.pieces = _Remembered(self._piece)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
 
     @staticmethod
     def _splits_at_white_space(spec: dict) -> bool:
@@ -59,11 +80,23 @@ class WordEncoder:
             return False
         if [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[1]["add_prefix_space"]:
             return False
-        pattern = steps[0]["pattern"].get("Regex", "")
-        covers = r"[^\s\p{L}\p{N}]+" in pattern and not re.search(r"(?<!\^)\\s| ", pattern.replace(r"[^\s", ""))
+        covers = steps[0]["pattern"].get("Regex") == _PATTERN
         plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in spec["added_tokens"])
         return steps[0]["behavior"] == "Removed" and steps[0]["invert"] and covers and plain
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word: piece by piece if it is plain Latin and holds no special token, else by the tokenizer."""
+        if _LATIN.fullmatch(word) and "<|" not in word and len(word) <= LONGEST_REMEMBERED:
+            return b"".join(map(self.pieces.__getitem__, _LATIN_PIECES.findall(word.lower())))
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one split piece by the tokenizer's merging model, which sees bytes as letters."""
+        if not piece.isascii():
+            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = [x.id for x in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
