@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of the fit: labelled documents, and words with a score of their own.
 TRAIN_ROWS, VOCABULARY = 20_000, 20_000
-#: Pseudo-tokens of the Dirichlet prior; least |z| of a word that scores; score of any other word.
-PRIOR, LEAST_Z, NEUTRAL = 1_000.0, 4.0, -0.05
+#: Share of the tokens that the Dirichlet prior weighs; least |z| of a word that scores; score of any other word.
+PRIOR, LEAST_Z, NEUTRAL = 0.2, 4.0, -0.05
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -95,7 +95,7 @@ def _word_counts(batches):
 
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for w in words_of(text):
+            for w in set(words_of(text)):  # once per document: repetition within one says nothing about the others
                 if len(w) <= 64:
                     counts.setdefault(w, [0, 0])[toxic] += 1
             if len(counts) > 500_000:
@@ -163,9 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     n1, n0 = float(sums[0] or 0), float(sums[1] or 0)
     if not n1 or not n0:
         return Model({}, 1.0, 0.0, 1.0, -5.0)
-    prior = PRIOR * (F.col("toxic") + F.col("clean")) / (n1 + n0)
+    weight = PRIOR * (n1 + n0)
+    prior = weight * (F.col("toxic") + F.col("clean")) / (n1 + n0)
     y1, y0 = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(y1 / (n1 + PRIOR - y1)) - F.log(y0 / (n0 + PRIOR - y0))
+    odds = F.log(y1 / (n1 + weight - y1)) - F.log(y0 / (n0 + weight - y0))
     scored = counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / y1 + 1 / y0))
     kept = scored.where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(VOCABULARY).collect()
     scores = {r.word: float(r.odds) for r in sorted(kept, key=lambda r: r.word)}
