@@ -80,6 +80,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_forest": op1_forest,
     "op2_exact_topk": op2_exact_topk,
@@ -89,6 +95,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_licenses": op8_licenses,
+    "op9_jaccard": op9_jaccard,
     "op10_token_tables": op10_token_tables,
 }
 

@@ -220,6 +220,24 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
+def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is not predicted to be toxic; the text is scored as in `score`."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for text in batch.column(at).to_pylist():
+                words = words_of(text or "")
+                segments = segments_of(words, model.scores)
+                keep.append(model.score(model.significance(segments, len(words)) if segments else -20.0) < 0.5)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out_fold: int = 0) -> DataFrame:
     """Fit on the labels outside the held-out fold and score every document; adds held_out to `score`'s columns."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, folds=folds, held_out_fold=held_out_fold)
