@@ -12,27 +12,45 @@ from .shared import written
 
 #: Labelled documents that the classifier is fitted on at most: those of least hash of their id.
 TRAIN_ROWS = 20_000
-#: Fixed character classes, one feature each: letters that languages differ in, and marks of junk.
-LETTERS = ["äöüß", "éèêëàâîïôûùç", "ñóíáú¿¡", "w", "h", "k", "z", "q", "j", "x", "#$%&*@^~|<>{}[]", "0123456789", ".,;:!?", " \n\t"]
+#: Fixed character classes, a feature each, as insides of a pattern's brackets: letters that languages differ in, junk.
+LETTERS = ["äöüß", "éèêëàâîïôûùç", "ñóíáú¿¡", "w", "h", "k", "z", "q", "j", "x", r"#$%&*@^~|<>{}\[\]", "0-9", ".,;:!?", " "]
 
 
-def _features(text: Column) -> list[Column]:
-    """Numbers of a text for the classifier, all bounded: shares of character classes, case, word length, repetition."""
-    low, n = F.lower(text), F.greatest(F.length(text), F.lit(1)).cast("double")
-    shares = [F.length(low) - F.length(F.translate(low, c, "")) for c in LETTERS]
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once per row, however often it occurs: as the variable of a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _features(text: Column) -> Column:
+    """Numbers of a text for the classifier, all bounded: shares of character classes, case, word length, repetition.
+
+    What no class holds is taken out first, so that the classes are counted on the rest.
+    """
+    rest = F.regexp_replace(F.lower(text), f"[^{''.join(LETTERS)}]+", "")
+    counts = _let(rest, lambda r: F.array(*[F.length(r) - F.length(F.regexp_replace(r, f"[{c}]+", "")) for c in LETTERS]))
+    n = F.greatest(F.length(text), F.lit(1)).cast("double")
     lines = F.split(text, "\n")
-    return [
-        *[F.least(x / n, F.lit(1.0)) for x in shares],
-        F.log(1 + n) / 10,
-        n / F.greatest(n - F.length(F.replace(text, F.lit(" "), F.lit(""))), F.lit(1.0)) / (n + 1) * F.least(n, F.lit(50.0)),
-        F.size(F.array_distinct(lines)) / F.size(lines),
-        F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / n,
-    ]
+    return F.concat(
+        _let(n, lambda size: F.transform(counts, lambda c: c / size)),
+        F.array(
+            F.log(1 + n) / 10,
+            F.size(F.array_distinct(lines)) / F.size(lines),
+            F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / n,
+        ),
+    )
+
+
+N_FEATURES = len(LETTERS) + 3
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda s, v: s + v)
 
 
 def n_words(text: Column) -> Column:
     """Tokens of a text here: its runs of characters other than white space."""
-    return F.when(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))).cast("long")
+    marked = F.regexp_replace(text, r"\S+", "w")
+    return (F.length(marked) - F.length(F.replace(marked, F.lit("w"), F.lit("")))).cast("long")
 
 
 @dataclass(frozen=True)
@@ -45,10 +63,10 @@ class Classifier:
 
     def posteriors(self, x: Column) -> Column:
         """Array of posteriors, in the order of domains, for an array column of features."""
-        scores = [F.aggregate(F.zip_with(x, F.array(*map(F.lit, w[:-1])), lambda a, b: a * b), F.lit(w[-1]), lambda s, v: s + v) for w in self.weights]
-        top = F.array_max(F.array(*scores)) if len(scores) > 1 else scores[0]
-        e = F.transform(F.array(*scores), lambda s: F.exp(s - top))
-        return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
+        dot = lambda v, w: sum((v[i] * float(c) for i, c in enumerate(w[:-1])), F.lit(float(w[-1])))
+        scores = _let(x, lambda v: F.array(*[dot(v, w) for w in self.weights]))
+        raised = _let(scores, lambda s: _let(F.array_max(s), lambda top: F.transform(s, lambda v: F.exp(v - top))))
+        return _let(raised, lambda e: _let(_total(e), lambda t: F.transform(e, lambda v: v / t)))
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", train_rows: int = TRAIN_ROWS) -> Classifier:
@@ -60,8 +78,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_i
     known = labelled.where(F.col(id_col).isNotNull() & F.col(domain_col).isNotNull()).groupBy(id_col).agg(F.min(F.col(domain_col).cast("string")).alias("domain"))
     sample = known.orderBy(F.xxhash64(id_col), id_col).limit(train_rows)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(id_col, F.array(*_features(text)).alias("x")).join(F.broadcast(sample), id_col)
-    d = len(_features(F.lit("")))
+    rows = docs.select(id_col, text.alias("text")).join(F.broadcast(sample), id_col).select("domain", _features(F.col("text")).alias("x"))
+    rows = rows.select("domain", F.explode(F.array("x")).alias("x"))  # computed once, before the many sums
+    d = N_FEATURES
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     sums = rows.groupBy("domain").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(d)]).alias("s"), F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).alias("p")).collect()
     sums.sort(key=lambda r: r.domain)
@@ -93,53 +112,58 @@ class Fit:
     targets: list[float]
 
     def rate(self, tokens: Column) -> Column:
-        if not self.steps:
-            return F.lit(1.0)
-        steps = F.array(*[F.array(*map(F.lit, g)) for g in self.steps])
-        dot = lambda g: F.aggregate(F.zip_with(tokens, g, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+        rate = F.lit(1.0)
+        for g in self.steps:
+            rate = F.greatest(F.lit(0.0), rate - sum((tokens[i] * float(v) for i, v in enumerate(g)), F.lit(0.0)))
+        return rate
 
 
-def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 40, tolerance: float = 1e-6) -> Fit:
+def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 15, tolerance: float = 1e-5) -> Fit:
     """Projected-gradient least squares: rates r >= 0 with sum_d r_d * tokens_dk near targets[k] for every domain k.
 
     `members` has an array column `tokens`: a document's tokens times its posterior, per domain. The gradient of
-    half the squared misfit at document d is tokens_d . (totals - targets). It is preconditioned by the inverse of
-    the K x K matrix of token products, so one step meets all targets unless rates are cut off at 0; further
-    steps correct for those. A round is one map-side aggregation of K numbers. Rates are not kept between rounds:
-    they are folded anew from the steps so far, K numbers each, so a lost executor costs nothing but its tasks.
+    half the squared misfit at document d is tokens_d . (totals - targets). It is scaled by the inverse of the K x K
+    matrix of token products over the documents whose rates are above 0, so that one step meets the targets as far
+    as no further rate is cut off at 0; more steps correct for those that are.
+
+    A round is one map-side aggregation of K + K (K + 1) / 2 numbers. Rates are not kept between rounds: they are
+    folded anew from the steps so far, K numbers each, so a lost executor costs nothing but its tasks.
     """
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     t = lambda i: F.col("tokens")[i]
-    first = members.agg(F.array(*[F.sum(t(i)) for i in range(k)]).alias("s"), F.array(*[F.sum(t(i) * t(j)) for i, j in pairs]).alias("p")).first()
-    if first.s[0] is None:
-        return Fit([], [0.0] * k, list(targets))
-    gram = np.zeros((k, k))
-    for (i, j), v in zip(pairs, first.p, strict=True):
-        gram[i, j] = gram[j, i] = v
-    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
-    inverse = np.linalg.pinv(gram / np.outer(scale, scale), rcond=1e-9, hermitian=True) / np.outer(scale, scale)
-    goal, totals, steps = np.array(targets, float), np.array(first.s, float), []
+    goal, steps, best = np.array(targets, float), [], np.inf
+    kept: tuple[list, list] = ([], [0.0] * k)
     norm = max(float(np.abs(goal).sum()), 1e-300)
-    best = float(np.abs(totals - goal).sum())
-    while len(steps) < rounds and best > tolerance * norm:
-        steps.append((inverse @ (totals - goal)).tolist())
+    for _ in range(rounds + 1):
         rate = Fit(steps, [], []).rate(F.col("tokens"))
-        now = members.withColumn("rate", rate).agg(F.array(*[F.sum(t(i) * F.col("rate")) for i in range(k)]).alias("s")).first().s
-        totals = np.array(now, float)
-        gone, best = best, min(best, float(np.abs(totals - goal).sum()))
-        if len(steps) > 8 and best > 0.999 * gone:  # the targets cannot be met any closer
+        rows = members.select("tokens", F.explode(F.array(rate)).alias("r"))
+        live = F.when(F.col("r") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+        now = rows.agg(*[F.sum(t(i) * F.col("r")) for i in range(k)], *[F.sum(t(i) * t(j) * live) for i, j in pairs]).first()
+        if now[0] is None:
+            return Fit([], [0.0] * k, list(targets))
+        totals, gram = np.array(now[:k], float), np.zeros((k, k))
+        misfit = float(np.abs(totals - goal).sum())
+        if misfit < best:
+            kept, gone, best = (list(steps), totals.tolist()), best, misfit
+        else:
+            gone = best
+        if best <= tolerance * norm or len(steps) >= rounds or (len(steps) > 4 and best > 0.99 * gone):
             break
-    return Fit(steps, totals.tolist(), goal.tolist())
+        for (i, j), v in zip(pairs, now[k:], strict=True):
+            gram[i, j] = gram[j, i] = v
+        scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+        inverse = np.linalg.pinv(gram / np.outer(scale, scale), rcond=1e-9, hermitian=True) / np.outer(scale, scale)
+        steps.append((inverse @ (totals - goal)).tolist())
+    return Fit(kept[0], kept[1], goal.tolist())
 
 
 def memberships(docs: DataFrame, classifier: Classifier, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Id (and columns to keep), n_tokens and the array `tokens`: n_tokens times the posterior of each domain."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(*(keep or [id_col]), n_words(text).alias("n_tokens"), F.array(*_features(text)).alias("x"))
-    rows = rows.withColumn("p", classifier.posteriors(F.col("x"))).drop("x")
-    return rows.withColumn("tokens", F.transform("p", lambda v: v * F.col("n_tokens"))).drop("p")
+    tokens = lambda p: F.transform(p, lambda v: v * F.col("n_tokens"))
+    rows = docs.select(*(keep or [id_col]), n_words(text).alias("n_tokens"), classifier.posteriors(_features(text)).alias("p"))
+    return rows.withColumn("tokens", tokens(F.col("p"))).drop("p")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, total_tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
@@ -159,15 +183,20 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, tota
     return members.select(id_col, "n_tokens", F.map_from_arrays(names, "tokens").alias("domains"), rates.rate(F.col("tokens")).alias("rate"))
 
 
+def totals_of(members: DataFrame, classifier: Classifier) -> dict[str, float]:
+    """Expected tokens by domain as the documents stand."""
+    now = members.agg(F.array(*[F.sum(F.col("tokens")[i]) for i in range(len(classifier.domains))]).alias("s")).first().s
+    return {d: float(v or 0) for d, v in zip(classifier.domains, now, strict=True)}
+
+
 def targets_of(members: DataFrame, classifier: Classifier, weights: dict[str, float], total_tokens: float | None = None) -> list[float]:
-    k = len(classifier.domains)
-    now = members.agg(F.array(*[F.sum(F.col("tokens")[i]) for i in range(k)]).alias("s")).first().s
-    now = [float(v or 0) for v in now]
-    scale = (total_tokens if total_tokens is not None else sum(now)) / max(sum(now), 1e-300)
-    named = [weights.get(d) for d in classifier.domains]
-    rest = sum(v for v, w in zip(now, named, strict=True) if w is None) * scale
-    share = (sum(now) * scale - rest) / max(sum(w for w in named if w is not None), 1e-300)
-    return [v * scale if w is None else w * share for v, w in zip(now, named, strict=True)]
+    """Target tokens by domain, in the classifier's order; see `mix` for domains without a weight."""
+    now = totals_of(members, classifier)
+    total = sum(now.values()) if total_tokens is None else total_tokens
+    scale = total / max(sum(now.values()), 1e-300)
+    rest = sum(v for d, v in now.items() if d not in weights) * scale
+    share = (total - rest) / max(sum(weights[d] for d in now if d in weights), 1e-300)
+    return [weights[d] * share if d in weights else v * scale for d, v in now.items()]
 
 
 def resampled(docs: DataFrame, rates: Fit, classifier: Classifier, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
