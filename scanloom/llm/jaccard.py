@@ -249,7 +249,9 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     left = rest.where("component <> main").withColumn("row", row).withColumn("column", F.explode(F.sequence(zero, F.col("blocks").cast("long") - 1)))
     right = rest.where("few > 0").withColumn("column", column).withColumn("row", F.explode(F.sequence(zero, F.col("few").cast("long") - 1)))
     keep = "cluster", "row", "column", "id", "n", "shared", "component"
-    crossed = left.select(*keep).groupBy("cluster", "row", "column").cogroup(right.select(*keep).groupBy("cluster", "row", "column")).applyInArrow(_cross_join(num, den), "a long, b long")
+    # Both sides come from one table: new names (aliases) tell their columns apart.
+    right = right.select(*[F.col(c).alias(c) for c in keep])
+    crossed = left.select(*keep).groupBy("cluster", "row", "column").cogroup(right.groupBy("cluster", "row", "column")).applyInArrow(_cross_join(num, den), "a long, b long")
     return edges.unionByName(written(crossed, "links"))
 
 
