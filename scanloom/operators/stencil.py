@@ -24,9 +24,14 @@ def box(radius: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
 
 
+def _table(offsets: list[tuple[int, int]]):
+    """The offsets as one constant array of structs."""
+    return F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])
+
+
 def shifted(cells: DataFrame, offsets: list[tuple[int, int]], keys: list[str]) -> DataFrame:
     """Every cell moved by every offset; one row each."""
-    moves = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets]))
+    moves = F.explode(_table(offsets))
     return cells.select(*keys, "row", "col", moves.alias("o")).select(*keys, (F.col("row") + F.col("o.dy")).alias("row"), (F.col("col") + F.col("o.dx")).alias("col"))
 
 
@@ -44,7 +49,7 @@ def erode(cells: DataFrame, offsets: list[tuple[int, int]], grid: DataFrame, key
     """Cells whose neighbours inside the grid are all set: outside the grid nothing erodes."""
     keys = keys or ["scan_id"]
     hits = clipped(shifted(cells.select(*keys, "row", "col").distinct(), [(-dy, -dx) for dy, dx in offsets], keys), grid).groupBy(*keys, "row", "col").agg(F.count("*").alias("hits"))
-    inside = sum((((F.col("row") + dy).between(0, F.col("height") - 1)) & ((F.col("col") + dx).between(0, F.col("width") - 1))).cast("int") for dy, dx in offsets)
+    inside = F.size(F.filter(_table(offsets), lambda o: (F.col("row") + o["dy"]).between(0, F.col("height") - 1) & (F.col("col") + o["dx"]).between(0, F.col("width") - 1)))
     return hits.join(F.broadcast(grid.select("scan_id", "width", "height")), "scan_id").where(F.col("hits") == inside).select(*keys, "row", "col")
 
 
