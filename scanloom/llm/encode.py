@@ -8,6 +8,8 @@ import struct
 
 import numpy as np
 
+from .shared import WORKER_CACHES
+
 #: Words and pieces remembered per worker; of each there are two generations of half the size, so memory is bounded.
 REMEMBERED = 800_000
 LONGEST_REMEMBERED = 48
@@ -19,6 +21,7 @@ _LATIN = re.compile("[!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u01
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 _workers: dict[str, "WordEncoder"] = {}
+WORKER_CACHES.append(_workers)
 
 
 def _byte_letters() -> list[str]:

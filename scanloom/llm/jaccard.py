@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .set_join import Groups, SetJoin
-from .shared import least_unsigned, pack, unpack, written
+from .shared import least_unsigned, make_room, pack, unpack, written
 from .shingles import WORDS, batch_sets, digest
 
 NUM, DEN = 75, 100
 #: A mapper's block is closed at so many shingles or documents.
-BLOCK_SHINGLES, BLOCK_DOCS = 3_000_000, 50_000
+BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 50_000
 #: Part of the hash range in which shingles are counted first, of which the leading bits are kept.
 FIRST_RANGE, FIRST_BITS = 0.375, 48
 #: Sets and shingles in a block of a cluster; random dealings of a cluster of several blocks before the exact pass.
@@ -52,6 +52,7 @@ def _dealer(parts: int, share: float, bits: int, size: int):
     def run(batches):
         from pyspark import TaskContext
 
+        make_room()
         pa, _, schema = _arrow()
         limit, shift = int(share * 2**64), np.uint64(64 - bits)
         edges = np.array([min(limit * p // parts, 2**64 - 1) for p in range(parts)], np.uint64)

@@ -62,6 +62,16 @@ def publish(uri: str, name: str, write) -> str:
     return f"{folder}/{name}"
 
 
+#: Tables that operators keep in a Python worker from task to task.
+WORKER_CACHES: list[dict] = []
+
+
+def make_room() -> None:
+    """Empty the tables that other operators have left in this Python worker, before a task that needs memory."""
+    for table in WORKER_CACHES:
+        table.clear()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one zstd-compressed blob; see unpack."""
     import zstandard

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import make_room
+
 #: Bounds of the fit: labelled documents, and words with a score of their own.
 TRAIN_ROWS, VOCABULARY = 20_000, 20_000
 #: Share of the tokens that the Dirichlet prior weighs; least |z| of a word that scores; score of any other word.
@@ -86,6 +88,7 @@ def segments_of(words: list[str], scores: dict[str, float]) -> list[tuple[int, i
 def _word_counts(batches):
     import pyarrow as pa
 
+    make_room()
     counts: dict[str, list[int]] = {}
 
     def rows():
@@ -227,6 +230,7 @@ def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> D
     def run(batches):
         import pyarrow as pa
 
+        make_room()
         for batch in batches:
             keep = []
             for text in batch.column(at).to_pylist():
