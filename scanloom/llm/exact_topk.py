@@ -121,7 +121,7 @@ def top_products(table: DataFrame, *, queries: str = "vec_id % 50 = 0", k: int =
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; zero
     vectors do. Repeated rows each count once per id. Fewer candidates give fewer rows; an empty table none.
-    All vectors must have one length. Other columns are not read.
+    A score beyond 64 bits raises. All vectors must have one length. Other columns are not read.
     """
     spark = table.sparkSession
     scaled = F.transform("v", lambda x: F.floor(x * float(factor)).cast("double"))

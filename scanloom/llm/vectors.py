@@ -28,6 +28,8 @@ def matrix(column) -> np.ndarray:
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest scores, ties to smaller ids."""
+    if scores.dtype == object:  # Python integers
+        return np.array(sorted(range(len(scores)), key=lambda p: (-scores[p], ids[p]))[:k], np.int64)
     if len(scores) > 4 * k:
         edge = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = np.flatnonzero(scores >= edge)
