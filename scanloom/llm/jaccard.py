@@ -8,10 +8,10 @@ by `set_join.SetJoin`, in blocks where it is large.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -215,18 +215,22 @@ def _cross_join(num: int, den: int):
 
 
 def _candidate_edges(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges that connect, within each index list, the sets between which no gap of sizes rules out every link."""
-    postings = sets.select("id", "n", F.explode("prefix").alias("w"))
-    by_list = Window.partitionBy("w").orderBy("n", "id")
-    before = F.lag("n").over(by_list)
-    opens = before.isNull() | (F.col("n") * num > before * den)
-    head = F.last(F.when(opens, F.col("id")), ignorenulls=True).over(by_list)
-    return postings.select(F.col("id").alias("a"), head.alias("b")).where("a <> b").distinct()
+    """Edges that connect, within each index list, all sets whose sizes allow a link.
+
+    A list is cut into bands of sizes; sets that link lie in one band or in two that follow each other. Every set is
+    tied to its band's least id, and that to the next band's. The least ids are aggregated on the map side and
+    joined back, so that a list that a large part of all sets share is never one task's.
+    """
+    band = F.floor(F.log("n") / math.log(den / num)).cast("int")
+    postings = sets.select("id", F.explode("prefix").alias("w"), band.alias("band"))
+    heads = postings.groupBy("w", "band").agg(F.min("id").alias("head"), F.count("*").alias("held"))
+    own = postings.join(heads.where("held > 1").select("w", "band", "head"), ["w", "band"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    after = heads.select("w", (F.col("band") + 1).alias("band"), F.col("head").alias("a"))
+    return own.unionByName(heads.join(after, ["w", "band"]).select("a", F.col("head").alias("b"))).where("a <> b").distinct()
 
 
 def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) that connect exactly the sets connected by links of at least num / den."""
-    # The written edges keep the window over the postings from being planned twice.
     clusters = components(_candidate_edges(sets, num, den)).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
     members = written(sets.drop("prefix").join(clusters, "id"), "members")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.length("shared")) / (8 * BLOCK_CLUSTER_SHINGLES)))
