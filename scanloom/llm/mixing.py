@@ -204,9 +204,11 @@ def resampled(docs: DataFrame, rates: Fit, classifier: Classifier, *, id_col: st
 
     The hash stands for a uniform number, so the expected number of uses is the rate and a rerun chooses alike.
     """
-    rows = memberships(docs, classifier, id_col=id_col, text_col=text_col, keep=docs.columns)
+    # The row travels as one struct, so that no column of the documents meets a name used here.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = memberships(whole, classifier, id_col="id", text_col="text", keep=["row", "id", "text"])
     # An exploded array of one is computed once, however often the rate names it.
     rate = rows.withColumn("tokens", F.explode(F.array("tokens"))).withColumn("rate", F.explode(F.array(rates.rate(F.col("tokens")))))
-    uniform = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
+    uniform = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
     copies = rate.withColumn("n", (F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
-    return copies.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*docs.columns)
+    return copies.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

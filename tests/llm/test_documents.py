@@ -276,7 +276,7 @@ def test_mixing_meets_targets_and_matches_a_dense_fit(spark):
     assert {x.rate for x in rows if x.n_tokens == 0} == {1.0}
     fit = mixing.Fit([[0.0, 0.0]], [], [])
     again = mixing.resampled(docs, fit, mixing.fit_classifier(docs, labelled))
-    assert again.columns == docs.columns and again.count() == 302
+    assert again.columns == docs.columns and sorted(map(repr, again.collect())) == sorted(map(repr, docs.collect()))
 
 
 def test_licenses(spark):
