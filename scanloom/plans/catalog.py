@@ -20,7 +20,9 @@ from ..operators import points as P
 from ..operators import raster as R
 from ..operators import regions as G
 from ..operators import rooms as Q
+from ..operators import sealing as L
 from ..operators import stencil as S
+from ..operators import views as V
 from ..operators import walls as W
 from ..sources.fixtures import fixture, with_fixtures
 from .config import Config
@@ -352,6 +354,22 @@ def footprint(spark, d):
     return G.footprint(cells, grid, 5)
 
 
+_SEAL = "SELECT 0 AS scan_id, s_suppkey % 40 AS r0, s_suppkey % 70 AS c0, s_suppkey % 40 AS r1, s_suppkey % 70 + s_suppkey % 6 AS c1 FROM supplier"
+
+
+@query("[wc] WITH s AS (" + _SEAL + ") SELECT 0 AS scan_id, row, col FROM wc UNION SELECT 0, s.r0, s.c0 + i.v FROM s, unnest(range(s.c1 - s.c0 + 1)) i(v)")
+def door_seal(spark, d):
+    cells, grid = _walls(spark, d)
+    segments = spark.sql(_SEAL.replace("FROM supplier", "FROM {base}"), base=spark.read.parquet(f"{d}/supplier.parquet"))
+    return L.sealed(cells, segments, grid)
+
+
+@query()
+def wall_bridge(spark, d):
+    cells, grid = _walls(spark, d)
+    return L.sealed(cells, L.bridge_segments(cells), grid)
+
+
 @query()
 def hmaxima(spark, d):
     cells, grid = _walls(spark, d)
@@ -483,6 +501,26 @@ def sam_refine_fake(spark, d):
     return Q.relabel_by_masks(labels, walls, _pred_dt(spark, d), _label_grid(spark, d), masks, scores, CFG)
 
 
+@query("SELECT 0 AS scan_id, row, col, CAST(pred AS BIGINT) AS label, CASE WHEN pred >= 1 THEN (dense_rank() OVER (PARTITION BY pred >= 1 ORDER BY pred) - 1) % 20 * 18 END AS hue FROM fx_labels")
+def label_colours(spark, d):
+    return V.label_colours(_labels(spark, d, "pred"))
+
+
+@query("SELECT 0 AS scan_id, CAST(pred AS BIGINT) AS label, round(avg(col), 6) AS x, round(avg(row), 6) AS y, count(*) AS n FROM fx_labels WHERE pred >= 1 GROUP BY pred")
+def label_centroids(spark, d):
+    return V.label_centroids(_labels(spark, d, "pred")).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
+@query()
+def sample_in_masks(spark, d):
+    return V.sampled(Q.room_masks(_labels(spark, d, "pred")), 5, ["scan_id", "room_id"], ["row", "col"], seed=42)
+
+
+@query("SELECT 0 AS scan_id, row * 4 + i.v AS row, col * 4 + j.v AS col FROM fx_labels, unnest(range(4)) i(v), unnest(range(4)) j(v) WHERE pred = 1")
+def enlarge_image(spark, d):
+    return V.enlarged(_labels(spark, d, "pred").where("label = 1").select("scan_id", "row", "col"), 4)
+
+
 # ---- walls ----------------------------------------------------------------------------------------------------------
 
 

@@ -18,6 +18,7 @@ from scanloom.operators import regions as G
 from scanloom.operators import rooms as Q
 from scanloom.operators import stencil as S
 from scanloom.operators import walls as W
+from scanloom.operators.sealing import bridge_segments, sealed
 from scanloom.operators.segmenters import automatic_rooms, backend_module, refine_rooms
 from scanloom.plans import ifc
 from scanloom.plans.config import Config, check_upstream, flattened, load_config
@@ -236,6 +237,16 @@ def test_snap_ends_meets_corners_and_tees():
     assert np.allclose(w[0, 2:], w[1, :2]) and np.allclose(w[2, :2], [2, 0], atol=1e-2)
 
 
+def test_bridges_connect_facing_ends_once(spark):
+    m = np.zeros((12, 40), bool)
+    m[5, 2:15] = m[5, 21:36] = True  # a gap of six cells
+    m[9:12, 18] = True  # a third end off the line
+    got = bridge_segments(cells(spark, m)).collect()
+    assert [(r.r0, r.c0, r.r1, r.c1) for r in got] == [(5, 14, 5, 21)]
+    full = as_mask(sealed(cells(spark, m), bridge_segments(cells(spark, m)), grid(spark, m.shape)), m.shape)
+    assert full[5, 2:36].all() and (full | m == full).all() and full.sum() == m.sum() + 6
+
+
 def test_peaks():
     s = np.zeros(180)
     s[[10, 20, 100, 178]] = [5, 9, 4, 8]
