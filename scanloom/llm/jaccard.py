@@ -229,26 +229,32 @@ def _candidate_edges(sets: DataFrame, num: int, den: int) -> DataFrame:
     return own.unionByName(heads.join(after, ["w", "band"]).select("a", F.col("head").alias("b"))).where("a <> b").distinct()
 
 
+def _spread_join(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner", ways: int = 64) -> DataFrame:
+    """rows joined with one row per key, each key's rows dealt over `ways` tasks by their id, whatever its size."""
+    copies = per_key.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
+    return rows.withColumn("way", F.pmod(F.xxhash64("id", F.lit(-3)), F.lit(ways).cast("long"))).join(copies, [key, "way"], how).drop("way")
+
+
 def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) that connect exactly the sets connected by links of at least num / den."""
     clusters = components(_candidate_edges(sets, num, den)).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
     members = written(sets.drop("prefix").join(clusters, "id"), "members")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.length("shared")) / (8 * BLOCK_CLUSTER_SHINGLES)))
     sizes = members.groupBy("cluster").agg(F.least(blocks, F.count("*")).cast("int").alias("blocks"))
-    sized = members.join(sizes, "cluster")
+    large = sizes.where("blocks > 1")
+    sized = _spread_join(members, large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = sized.withColumn("dealing", F.explode(F.sequence(F.lit(0), F.when(F.col("blocks") > 1, F.lit(DEALINGS - 1)).otherwise(F.lit(0)))))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "dealing"), F.col("blocks")))
     edges = written(dealt.groupBy("cluster", "dealing", "block").applyInArrow(_block_join(num, den), "a long, b long"), "links")
-    large = sizes.where("blocks > 1")
     if large.isEmpty():
         return edges
     # A cluster of several blocks is mostly one component by now. The others in it are compared with all of it.
     found = components(edges)
-    rest = members.join(large, "cluster").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = _spread_join(members, large, "cluster").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     rest = written(rest, "large-clusters")
     per = rest.groupBy("cluster", "component").agg(F.count("*").alias("sets"))
     main = per.groupBy("cluster").agg(F.max_by("component", F.struct("sets", "component")).alias("main"), F.sum("sets").alias("all"), F.max("sets").alias("most"))
-    rest = rest.join(main, "cluster").withColumn("few", F.ceil((F.col("all") - F.col("most")) / BLOCK_SETS).cast("int"))
+    rest = _spread_join(rest, main, "cluster").withColumn("few", F.ceil((F.col("all") - F.col("most")) / BLOCK_SETS).cast("int"))
     row, column = F.pmod(F.xxhash64("id", F.lit(-1)), F.greatest("few", F.lit(1))), F.pmod(F.xxhash64("id", F.lit(-2)), F.col("blocks"))
     zero = F.lit(0).cast("long")
     left = rest.where("component <> main").withColumn("row", row).withColumn("column", F.explode(F.sequence(zero, F.col("blocks").cast("long") - 1)))
