@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import struct
 import tempfile
@@ -28,9 +30,21 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new, unused folder URI below the shared root."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused folder URI below the shared root; it goes when the driver ends."""
+    _made.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@atexit.register
+def _remove_made() -> None:
+    for uri in _made:
+        with contextlib.suppress(Exception):
+            store, path = filesystem(uri)
+            store.delete_dir(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
