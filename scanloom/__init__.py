@@ -1,0 +1 @@
+"""A scan engine and corpus operators for PySpark."""

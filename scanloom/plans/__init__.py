@@ -1,0 +1 @@
+"""Settings, registered queries, the IFC text and the whole run."""

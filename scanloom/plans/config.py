@@ -129,8 +129,8 @@ class Config:
     bsdd_add_qtos: bool = True
     bsdd_add_classifications: bool = True
     bsdd_validate_geometry: bool = True
-    out_root: str = "scan2bim_out"
-    out_dir: str = "scan2bim_out"
+    out_root: str = "scanloom_out"
+    out_dir: str = "scanloom_out"
 
     @property
     def seal_gap_px(self) -> int:

@@ -1,0 +1 @@
+"""Readers and writers, stage folders, and the fixture relations."""

@@ -1,0 +1 @@
+"""Nothing here streams: scans arrive whole, and every operator is a batch plan."""
