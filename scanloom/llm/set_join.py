@@ -47,7 +47,7 @@ class SetJoin:
     """
 
     #: Probed sets whose overlaps are kept, and the share of elements from which on they serve another set.
-    KEPT, SIMILAR = 32, 0.6
+    KEPT, SIMILAR = 4, 0.6
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int], num: int, den: int):
         self.num, self.den = num, den
@@ -146,7 +146,7 @@ class SetJoin:
 
     def _similar(self, x: int, kept):
         """A probed set that shares most elements with x: (it, its overlaps, its elements not in x, x's not in it)."""
-        for r, overlaps in reversed(kept[-4:]):
+        for r, overlaps in reversed(kept):
             if len(overlaps) >= 4 and self.den * min(self.size[r], self.size[x]) >= self.num * max(self.size[r], self.size[x]):
                 common = np.isin(self.ranks[x], self.ranks[r], assume_unique=True)
                 if common.sum() >= self.SIMILAR * self.size[x]:
