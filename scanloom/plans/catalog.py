@@ -687,7 +687,7 @@ def manhattan_snap(spark, d):
 
 @query()
 def endpoint_snap(spark, d):
-    return B.snapped_ends(_faces(spark, d).where("wall_id <= 200"), CFG.ifc_snap_tolerance_m).select("wall_id", "sx", "sy", "ex", "ey")
+    return B.snapped_ends(_faces(spark, d), CFG.ifc_snap_tolerance_m).select("wall_id", "sx", "sy", "ex", "ey")
 
 
 @query("""WITH l AS (SELECT room_id, axis FROM (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY length DESC, wall_id) AS r FROM fx_walls) t WHERE r = 1)

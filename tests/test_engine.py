@@ -21,8 +21,10 @@ from scanloom.operators import walls as W
 from scanloom.operators.sealing import bridge_segments, sealed
 from scanloom.operators.segmenters import automatic_rooms, backend_module, refine_rooms
 from scanloom.plans import ifc
+from scanloom.plans.catalog import QUERIES
 from scanloom.plans.config import Config, check_upstream, flattened, load_config
 from scanloom.sources import clouds, stages
+from scanloom.sources.fixtures import fixture
 
 
 def cells(spark, mask, name=None, values=None):
@@ -237,6 +239,36 @@ def test_snap_ends_meets_corners_and_tees():
     assert np.allclose(w[0, 2:], w[1, :2]) and np.allclose(w[2, :2], [2, 0], atol=1e-2)
 
 
+def snapped_by_all_pairs(walls, tol, rounds=3):
+    w = np.array(walls, float).reshape(-1, 2, 2)
+    for _ in range(rounds):
+        for i in range(len(w)):
+            for end in (0, 1):
+                p, best, move = w[i, end].copy(), tol, None
+                for j in (j for j in range(len(w)) if j != i):
+                    run = w[j, 1] - w[j, 0]
+                    size = float(np.hypot(*run))
+                    t = float((p - w[j, 0]) @ run) / size**2 if size >= 0.01 else 0
+                    ways = [(w[j, other], ((p + w[j, other]) / 2, other)) for other in (0, 1)] + ([(w[j, 0] + t * run, (w[j, 0] + t * run, None))] if 0.01 <= t <= 0.99 else [])
+                    for at, to in ways:
+                        d = float(np.hypot(*(p - at)))
+                        if 0 < d < best:
+                            best, move = d, (j, *to)
+                if move:
+                    w[i, end] = move[1]
+                    if move[2] is not None:
+                        w[move[0], move[2]] = move[1]
+    return w.reshape(-1, 4)
+
+
+def test_endpoint_snap_takes_all_walls(spark, tmp_path):
+    spark.range(1, 251).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.wall_id: (r.sx, r.sy, r.ex, r.ey) for r in QUERIES["endpoint_snap"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(1, 251))
+    walls = [(r.sx, r.sy, r.ex, r.ey) for r in fixture(spark, str(tmp_path), "fx_walls").orderBy("wall_id").collect()]
+    assert np.array_equal(np.array([got[k] for k in sorted(got)]), snapped_by_all_pairs(walls, Config().ifc_snap_tolerance_m))
+
+
 def test_bridges_connect_facing_ends_once(spark):
     m = np.zeros((12, 40), bool)
     m[5, 2:15] = m[5, 21:36] = True  # a gap of six cells
