@@ -577,6 +577,12 @@ def outlier_filter(spark, d):
     return W.without_outliers(p, ["scan_id"], 20, 2.0).select("x", "y", "z")
 
 
+@query()
+def outlier_filter_walls(spark, d):
+    """All wall points, wall by wall, as in the run; outlier_filter is the strip that its all-pairs SQL can do."""
+    return W.without_outliers(_flat_segments(spark, d), W.WALL, 20, 2.0).select("wall_id", "x", "y", "z")
+
+
 @query()
 def normals_pca(spark, d):
     return W.normals(_room_points(spark, d), ["scan_id", "room_id"], 0.5, 30).select("pid", F.round(F.abs("nz"), 3).alias("nz"))

@@ -202,6 +202,15 @@ def test_walls_from_points(spark):
     assert len(planes) == 2
 
 
+def test_knn_means_equal_all_pairs():
+    rng = np.random.default_rng(3)
+    wall = np.c_[rng.uniform(0, 8, 3000), np.zeros(3000), rng.uniform(0, 2.5, 3000)]
+    clumps = np.repeat(rng.uniform(0, 1, (30, 3)), 30, axis=0)
+    for xyz in (wall, np.concatenate([wall, [[50, 9, 3], [20, 0, 0]]]), rng.normal(0, 1, (1500, 3)), clumps, np.zeros((40, 3)), np.c_[np.arange(200.0), np.zeros((200, 2))], rng.uniform(0, 1, (21, 3)), 1e4 + wall):
+        d = np.sort(np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2)), axis=1)[:, :20].mean(1)
+        assert np.allclose(W.knn_means(xyz, 20), d, rtol=1e-12, atol=1e-12)
+
+
 def test_voids_and_openings(spark):
     m = np.ones((63, 100), bool)
     m[8:, 30:55] = False  # a door of 1 m by 2.2 m

@@ -3,10 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry_points
 from scanloom.plans.catalog import ORACLE_SQL, QUERIES
+from scanloom.sources.fixtures import fixture
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -37,6 +39,17 @@ def test_query_equals_its_sql(spark, db, name):
     assert sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=repr) == want
 
 
+def test_outlier_filter_walls_takes_all_walls(spark):
+    walls = fixture(spark, SF, "fx_points").where("surf >= 2").toPandas()
+    want = []
+    for surf, w in walls.groupby("surf"):
+        xyz = w[["x", "y", "z"]].to_numpy()
+        mean = np.array([np.sort(np.sqrt(((xyz - p) ** 2).sum(1)))[:20].mean() for p in xyz])
+        want += [(surf, *p) for p in xyz[mean <= mean.mean() + 2 * mean.std(ddof=1)].tolist()]
+    assert len({w[0] for w in want}) == 5 and len(want) < len(walls)
+    assert sorted(map(tuple, QUERIES["outlier_filter_walls"](spark, SF).collect())) == sorted(want)
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
