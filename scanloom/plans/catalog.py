@@ -27,7 +27,8 @@ from ..operators import walls as W
 from ..sources.fixtures import fixture, with_fixtures
 from .config import Config
 
-#: Pixel and band of the fixture scan; the coarse one keeps the SQL of components small.
+#: Pixel and band of the fixture scan; the coarse one keeps the SQL of components small. Queries named _fine do the same work,
+#: without SQL, on the raster of all others.
 CFG = Config(pixel_m=0.1, min_points_per_cell=1, ceiling_mode="global", slab_lo_m=0.125, slab_hi_m=0.5, min_wall_area_px=60, min_wall_points=30, offset_tol_m=0.2, sam_min_mask_region_area=60)
 COARSE = 0.5
 
@@ -289,6 +290,14 @@ def interior_coverage(spark, d):
     return inner.agg(F.count("*").alias("interior_cells")).crossJoin(F.broadcast(share.agg(F.round(F.coalesce(F.max("frac"), F.lit(0.0)), 9).alias("frac"))))
 
 
+@query()
+def interior_coverage_fine(spark, d):
+    cells, grid = _walls(spark, d)
+    inner = G.interior(cells, grid)
+    share = R.covered_share(inner, inner.where("row % 2 = 0"))
+    return inner.agg(F.count("*").alias("interior_cells")).crossJoin(F.broadcast(share.agg(F.round(F.coalesce(F.max("frac"), F.lit(0.0)), 9).alias("frac"))))
+
+
 # ---- stencils -------------------------------------------------------------------------------------------------------
 
 
@@ -348,6 +357,21 @@ def fill_holes(spark, d):
     return G.filled(cells, grid)
 
 
+@query()
+def components_fine(spark, d):
+    return G.components(_walls(spark, d)[0])
+
+
+@query()
+def clean_walls_fine(spark, d):
+    return G.clean_walls(_walls(spark, d)[0], CFG.min_wall_area_px)
+
+
+@query()
+def fill_holes_fine(spark, d):
+    return G.filled(*_walls(spark, d))
+
+
 @query()
 def footprint(spark, d):
     cells, grid = _walls(spark, d)
