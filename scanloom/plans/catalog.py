@@ -733,12 +733,17 @@ def storey_height(spark, d):
     return B.storey_height(_faces(spark, d))
 
 
+def _doors(walls):
+    """A stand-in door in the middle of every fourth wall, for the fixture's walls have no points to find doors in."""
+    doors = walls.where("wall_id % 4 = 0").select("scan_id", "wall_id", ((F.col("sx") + F.col("ex")) / 2).alias("x"), ((F.col("sy") + F.col("ey")) / 2).alias("y"), F.lit(0.9).alias("width"), F.lit(2.1).alias("height"))
+    return B.carried(doors, walls, CFG)
+
+
 @query()
 def building_document(spark, d):
     walls = _faces(spark, d)
     unique = B.deduplicated(walls, CFG)
-    doors = walls.where("wall_id % 4 = 0").select("scan_id", "wall_id", ((F.col("sx") + F.col("ex")) / 2).alias("x"), ((F.col("sy") + F.col("ey")) / 2).alias("y"), F.lit(0.9).alias("width"), F.lit(2.1).alias("height"))
-    return B.document(unique, doors, walls, CFG).select(F.to_json(F.struct("project", "storeys", "walls", "doors", "windows", "rooms")).alias("document"))
+    return B.document(unique, _doors(walls), walls, CFG).select(F.to_json(F.struct("project", "storeys", "walls", "doors", "windows", "rooms")).alias("document"))
 
 
 @query()
@@ -746,7 +751,7 @@ def ifc_entities(spark, d):
     from .ifc import entities
 
     walls = _faces(spark, d)
-    return entities(B.document(B.deduplicated(walls, CFG), None, walls, CFG), CFG)
+    return entities(B.document(B.deduplicated(walls, CFG), _doors(walls), walls, CFG), CFG)
 
 
 # ---- enrichment -----------------------------------------------------------------------------------------------------

@@ -96,11 +96,14 @@ def model(spark: SparkSession, config: Config, out: str) -> None:
     segments = stages.load_table(spark, out, stages.STAGES[7], "segments")
     enough = segments.groupBy("scan_id", "room_id").agg(F.countDistinct("peak").alias("n")).where(F.col("n") >= config.ifc_min_directions)
     walls = B.usable(B.wall_geometry(segments.join(enough, ["scan_id", "room_id"], "left_semi")), config)
-    faces = B.merged_faces(walls, config)
+    keep = lambda table, n: (stages.save_table(table, out, stages.STAGES[9], n), stages.load_table(spark, out, stages.STAGES[9], n))[1]
+    faces = keep(B.merged_faces(walls, config), "faces")
+    doors = keep(O.wall_doors(keep(O.face_images(segments, faces, config), "images"), faces, config), "doors")
+    doors = doors.withColumn("wall_id", F.col("room_id") * 10_000 + F.col("wall_id"))
     faces = faces.withColumn("wall_id", F.col("room_id") * 10_000 + F.col("wall_id"))
     faces = B.snapped_angles(faces, B.dominant_angles(faces, config.wseg_angle_tol_deg), config.wseg_angle_tol_deg)
     unique = B.snapped_ends(B.deduplicated(faces, config).drop("rooms", "sources"), config.ifc_snap_tolerance_m)
-    doc = B.document(unique, None, faces, config)
+    doc = B.document(unique, B.carried(doors, faces, config), faces, config)
     folder = stages.stage_dir(out, stages.STAGES[9])
     os.makedirs(folder, exist_ok=True)
     text = doc.select(F.to_json(F.struct("project", "storeys", "walls", "doors", "windows", "rooms")).alias("d")).first()
