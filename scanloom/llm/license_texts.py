@@ -1,5 +1,8 @@
 """Public licence texts and notices by SPDX identifier, and words that count as the same word."""
 
+import os
+import re
+
 #: Whole licence texts, without their copyright lines.
 TEXTS = [
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -44,6 +47,49 @@ TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
 0. You just DO WHAT THE FUCK YOU WANT TO."""),
 ]
 
+TEXTS.append(("WTFPL", """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+Version 2, December 2004
+
+Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
+
+""" + dict(TEXTS)["WTFPL"]))
+TEXTS.append(("BSD-3-Clause", dict(TEXTS)["BSD-2-Clause"].replace("THIS SOFTWARE IS", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS", 1)))
+
+#: Titles that stand before a text of TEXTS in stock files.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+    "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+}
+
+
+def _stock(name: str, text: str) -> list[str]:
+    """A long licence as files have it: with and without its title block, appendix and unfilled copyright line."""
+    whole = [text, re.sub(r"(?m)^.*Copyright \[yyyy\].*$", "", text)]
+    if (end := re.search(r"(?i)END OF TERMS AND CONDITIONS", text)) and re.match("Apache|L?GPL", name):
+        whole += [text[: end.end()], text[: end.start()]]
+    return whole + [re.split(r"\n[ \t]*\n", t.strip(), maxsplit=1)[1] for t in whole]
+
+
+def variants() -> list[tuple[str, str]]:
+    """(license_id, text) of every known form: TEXTS with their titles and with bullets for numbers, and license_files."""
+    out = []
+    for name, text in TEXTS:
+        bodies = [text, re.sub(r"(?m)^[0-9]\. ", "* ", text)] if name.startswith("BSD") else [text]
+        out += [(name, head + body) for body in bodies for head in ["", *[t + "\n\n" for t in TITLES.get(name, [])]]]
+    for f in sorted(os.listdir(FILES)):
+        with open(os.path.join(FILES, f), encoding="utf-8") as opened:
+            out += [(f.removesuffix(".txt"), t) for t in _stock(f, opened.read())]
+    return list(dict.fromkeys(out))
+
+
+#: Whole files of long licences, named by identifier.
+FILES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_files")
+
 #: One-line notices that name a licence.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import NOTICES, SPELLINGS, variants
 
 #: A line that only says who holds the copyright: it opens with the word or a sign, perhaps after marks of a comment.
 _COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|by )|\(c\)[ \t]+|©|all rights reserved)[^\n]*$"
@@ -39,8 +39,8 @@ def whole(c: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """license_id, kind ('text' or 'notice'), digest of the built-in licences; about twenty rows."""
-    rows = [(i, "text", t) for i, t in TEXTS] + [(i, "notice", t) for i, t in NOTICES]
+    """license_id, kind ('text' or 'notice'), digest of the built-in licences in all their forms; some hundred rows."""
+    rows = [(i, "text", t) for i, t in variants()] + [(i, "notice", t) for i, t in NOTICES]
     frame = spark.createDataFrame(rows, "license_id string, kind string, text string")
     return frame.select("license_id", "kind", F.sha2(whole(canonical(F.col("text"))), 256).alias("digest"))
 

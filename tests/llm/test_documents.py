@@ -1,5 +1,6 @@
 """Token counts, packing, token tables, near-duplicates, toxicity, mixing and licences on small documents."""
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from scanloom.llm import jaccard, licenses, mixing, toxicity  # noqa: E402
 from scanloom.llm.encode import encoder  # noqa: E402
-from scanloom.llm.license_texts import TEXTS  # noqa: E402
+from scanloom.llm.license_texts import FILES, TEXTS  # noqa: E402
 from scanloom.llm.packing import SumOfSquares, pack_documents  # noqa: E402
 from scanloom.llm.set_join import Groups, SetJoin  # noqa: E402
 from scanloom.llm.shingles import batch_sets  # noqa: E402
@@ -279,6 +280,18 @@ def test_mixing_meets_targets_and_matches_a_dense_fit(spark):
     assert again.columns == docs.columns and sorted(map(repr, again.collect())) == sorted(map(repr, docs.collect()))
 
 
+def test_stock_license_files(spark):
+    mark, known = "Copyright (c) 2021, Some Body\nAll rights reserved.\n\n", dict(TEXTS)
+    files = {f: open(os.path.join(FILES, f), encoding="utf-8").read() for f in os.listdir(FILES)}
+    filled = files["Apache-2.0.txt"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Some Body")
+    assert filled != files["Apache-2.0.txt"]
+    stock = [("MIT", "MIT License\n\n" + mark + known["MIT"]), ("MIT", "The MIT License (MIT)\n\n" + mark + known["MIT"]), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + mark + known["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")), ("ISC", "ISC License\n\n" + mark + known["ISC"]), ("Apache-2.0", filled), ("GPL-3.0-only", files["GPL-3.0-only.txt"].split("How to Apply These Terms")[0])]
+    stock += [("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nCopyright (C) 2004 Sam Hocevar <sam@hocevar.net>\n\nEveryone is permitted to copy and distribute verbatim or modified\ncopies of this license document, and changing it is allowed as long\nas the name is changed.\n\n" + known["WTFPL"].split("is changed.")[-1])]
+    stock += [(f.removesuffix(".txt"), t) for f, t in files.items()]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(frame(spark, [t for _, t in stock])).collect()}
+    assert [got[k] for k in range(len(stock))] == [name for name, _ in stock]
+
+
 def test_licenses(spark):
     mit = dict(TEXTS)["MIT"]
     spelt = "Copyright (c) 2020 Some Body\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace("\n", "\n\n  ").replace(",", " ;")
