@@ -15,8 +15,18 @@ def valid(v: Column, *, nonzero: bool) -> Column:
 
 
 def only_vectors(table: DataFrame, id_col: str, vec_col: str, *, nonzero: bool) -> DataFrame:
+    """id and v of the rows that take part, one per id: of several vectors of an id the least counts."""
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return rows.where(F.col("id").isNotNull() & valid(F.col("v"), nonzero=nonzero))
+    rows = rows.where(F.col("id").isNotNull() & valid(F.col("v"), nonzero=nonzero))
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
+
+
+def common_length(rows: DataFrame) -> tuple[int, int]:
+    """Number of rows and the length that all their vectors v have."""
+    n, low, high = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} and of {high} components")
+    return n, low or 0
 
 
 def matrix(column) -> np.ndarray:
