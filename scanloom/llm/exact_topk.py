@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .vectors import best_of, matrix, only_vectors, ranked
+from .vectors import best_of, common_length, matrix, only_vectors, ranked
 
 BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
+#: Bands of length at most; what a band holds beyond a block is dealt on.
+BANDS = 256
 #: Rows of greatest length that give every query its first bound, and rows taken at once within a block.
 SEED_ROWS, STEP = 2_048, 2_048
 #: Largest sum of squares up to which doubles add integer products exactly.
@@ -68,11 +70,30 @@ class Rotated:
         return kept_ids, kept
 
 
-def _axes(vectors: np.ndarray) -> tuple[np.ndarray, tuple[int, ...]]:
-    """Right singular vectors by falling value, and where to stop and look at the bound: an eighth, a third, the end."""
-    _, values, vt = np.linalg.svd(vectors.T @ vectors) if len(vectors) else (0, 0, np.eye(vectors.shape[1]))
-    d = vectors.shape[1]
-    return vt.T, tuple(sorted({max(1, d // 8), max(1, d // 3), max(1, 2 * d // 3), d}))
+def _products(batches):
+    """Cells (i <= j) of the sum of v_i v_j over the batches: one row each, whatever the number of vectors."""
+    import pyarrow as pa
+
+    total = None
+    for batch in batches:
+        v = matrix(batch.column(0))
+        if len(v):
+            total = v.T @ v + (0 if total is None else total)
+    if total is not None:
+        i, j = np.triu_indices(len(total))
+        for a in range(0, len(i), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(i[a : a + 65_536], pa.int32()), pa.array(j[a : a + 65_536], pa.int32()), pa.array(total[i, j][a : a + 65_536], pa.float64())], names=["i", "j", "s"])
+
+
+def axes_of(rows: DataFrame, d: int) -> tuple[np.ndarray, tuple[int, ...]]:
+    """Right singular vectors of all rows by falling value, and where to stop and look at the bound.
+
+    They are those of the d x d matrix of products, summed up in every task and then over the tasks.
+    """
+    gram = np.zeros((d, d))
+    for r in rows.select("v").mapInArrow(_products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+        gram[r.i, r.j] = gram[r.j, r.i] = r.s
+    return np.linalg.svd(gram)[0], tuple(sorted({max(1, d // 8), max(1, d // 3), max(1, 2 * d // 3), d}))
 
 
 def _search(k: int, axes: np.ndarray, parts: tuple[int, ...]):
@@ -113,56 +134,43 @@ def top_products(table: DataFrame, *, queries: str = "vec_id % 50 = 0", k: int =
     """The k largest integer inner products of each query row with all others: query_id, rank, vec_id, score. Exact.
 
     Components become floor(factor * x). The SEED_ROWS longest vectors (a bounded set, sent to the tasks) give
-    every query a bound that k rows reach. Candidates are dealt into blocks by descending length; a query goes to
-    those blocks only whose longest vector could reach its bound, a prefix of the blocks. In a block rows go by
-    descending length until none is long enough, and the partial sums over the rotated components are dropped as
-    soon as the Cauchy-Schwarz bound on their rest shows that they cannot reach it. What remains is multiplied in
-    exact integers. The rotation comes from the d x d matrix of products over all rows; any rotation is exact.
+    every query a bound that k rows reach. Candidates are dealt into bands by descending length, at most BANDS, and
+    within a band by a hash into blocks; a query goes to those bands only whose longest vector could reach its bound,
+    a prefix of the bands. In a block rows go by descending length until none is long enough, and the partial sums
+    over the rotated components are dropped as soon as the Cauchy-Schwarz bound on their rest shows that they cannot
+    reach it. What remains is multiplied in exact integers. The rotation comes from the d x d matrix of products over
+    all rows; any rotation is exact.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; zero
-    vectors do. Repeated rows each count once per id. Fewer candidates give fewer rows; an empty table none.
-    A score beyond 64 bits raises. All vectors must have one length. Other columns are not read.
+    vectors do. Of rows that repeat an id the one with the least vector counts. Fewer candidates give fewer rows; an
+    empty table none. A score beyond 64 bits raises, as do vectors of several lengths. Other columns are not read.
     """
     spark = table.sparkSession
     scaled = F.transform("v", lambda x: F.floor(x * float(factor)).cast("double"))
-    rows = only_vectors(table, id_col, vec_col, nonzero=False).select("id", scaled.alias("v")).distinct()
+    rows = only_vectors(table, id_col, vec_col, nonzero=False).select("id", scaled.alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     rows = written(rows.withColumn("length", length), "integer-vectors")
-    top = rows.orderBy(F.desc("length"), "id").limit(SEED_ROWS).collect()
-    if not top:
+    n, d = common_length(rows)
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    d, n = len(top[0].v), rows.count()
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    gram = np.zeros((d, d))
-    sums = rows.agg(F.array(*[F.sum(F.col("v")[i] * F.col("v")[j]) for i, j in pairs])).first()[0] if d <= 128 else None
-    if sums:
-        for (i, j), s in zip(pairs, sums, strict=True):
-            gram[i, j] = gram[j, i] = s
-        axes = np.linalg.svd(gram)[0]
-        parts = tuple(sorted({max(1, d // 8), max(1, d // 3), max(1, 2 * d // 3), d}))
-    else:
-        axes, parts = _axes(np.array([r.v for r in top], float))
+    top = rows.orderBy(F.desc("length"), "id").limit(SEED_ROWS).collect()
+    axes, parts = axes_of(rows, d)
     asked = rows.where(F.expr(queries.replace(id_col, "id"))).select("id", "v").mapInArrow(_bounds(np.array([r.v for r in top], float), np.array([r.id for r in top]), k), "id long, v array<double>, bound double, length double")
-    blocks = max(1, -(-n // block_rows))
-    if blocks > 1:
-        edges = rows.selectExpr(f"percentile_approx(length, array({', '.join(str(i / blocks) for i in range(1, blocks))}), 10000)").first()[0][::-1]
-    else:
-        edges = []
-    # Equal lengths may be many: within an edge rows are dealt on by a hash, so that no block grows without bound.
-    sizes = rows.groupBy(F.expr("+".join(["0", *[f"int(length < {e!r}D)" for e in edges]])).alias("band")).agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()
-    sizes.sort(key=lambda r: r.band)
-    places, tops, first = {}, [], 0
-    for r in sizes:
-        cuts = max(1, -(-r.n // (2 * block_rows)))
-        places[r.band] = (first, cuts)
-        tops += [float(r.longest)] * cuts
-        first += cuts
+    bands = min(BANDS, -(-n // block_rows))
+    edges = []
+    if bands > 1:
+        edges = sorted(set(rows.selectExpr(f"percentile_approx(length, array({', '.join(str(i / bands) for i in range(1, bands))}), 10000)").first()[0]), reverse=True)
     band = F.expr("+".join(["0", *[f"int(length < {e!r}D)" for e in edges]]))
-    lookup = F.create_map(*[x for b, (f, c) in places.items() for x in (F.lit(b), F.struct(F.lit(f).alias("f"), F.lit(c).alias("c")))])
-    dealt = rows.withColumn("place", F.element_at(lookup, band)).withColumn("block", (F.col("place.f") + F.pmod(F.xxhash64("id"), F.col("place.c"))).cast("int"))
+    # Equal lengths may be many, and there may be more rows than the bands hold: a band is dealt on by a hash.
+    sizes = sorted(rows.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect(), key=lambda r: r.band)
+    cuts = {r.band: max(1, -(-r.n // (2 * block_rows))) for r in sizes}
+    by_band = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values for x in pair]), F.col("band"))
+    dealt = rows.withColumn("band", band).withColumn("cut", F.pmod(F.xxhash64("id"), by_band(cuts.items()).cast("long")))
     q_blocks = max(1, -(-n // (50 * QUERY_ROWS)))
-    reach = F.filter(F.sequence(F.lit(0), F.lit(len(tops) - 1)), lambda b: F.element_at(F.array(*map(F.lit, tops)), b + 1) * F.col("length") * (1 + 1e-12) + 1e-6 >= F.col("bound"))
-    sent = asked.withColumn("block", F.explode(reach)).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(q_blocks)))
-    copies = dealt.select("id", "v", "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
-    found = sent.select("id", "v", "bound", "block", "part").groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInArrow(_search(k, axes, parts), "query_id long, vec_id long, score long")
+    reach = asked.withColumn("band", F.explode(F.array(*[F.lit(r.band) for r in sizes])))
+    reach = reach.where(by_band([(r.band, r.longest) for r in sizes]) * F.col("length") * (1 + 1e-12) + 1e-6 >= F.col("bound"))
+    sent = reach.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), by_band(cuts.items()).cast("long") - 1))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(q_blocks)))
+    copies = dealt.select("id", "v", "band", "cut").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+    key = "band", "cut", "part"
+    found = sent.select("id", "v", "bound", *key).groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(_search(k, axes, parts), "query_id long, vec_id long, score long")
     return ranked(found, k)
