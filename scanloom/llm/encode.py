@@ -8,11 +8,8 @@ import struct
 
 import numpy as np
 
-from .shared import WORKER_CACHES
+from .shared import LONGEST_REMEMBERED, WORKER_CACHES, Remembered
 
-#: Words and pieces remembered per worker; of each there are two generations of half the size, so memory is bounded.
-REMEMBERED = 800_000
-LONGEST_REMEMBERED = 48
 _SEPARATORS = "\x1c", "\x1d", "\x1e", "\x1f"
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
 #: Words of these characters (no digits but 0-9, no letter whose lower case has two) need no normaliser but lower().
@@ -31,25 +28,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)]
 
 
-class _Remembered(dict):
-    """A dict that computes missing values; when full its entries become the old generation, and older ones go."""
-
-    def __init__(self, compute):
-        super().__init__()
-        self.compute, self.old = compute, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(key) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED // 2:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class WordEncoder:
     """Encodes a text word by word when the file's normaliser and splitter never join text across white space.
 
@@ -70,8 +48,8 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_words = self._splits_at_white_space(spec)
-        self.words = _Remembered(self._word)
-        self.pieces = _Remembered(self._piece)
+        self.words = Remembered(self._word)
+        self.pieces = Remembered(self._piece)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
 

@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -86,6 +87,44 @@ def make_room() -> None:
         table.clear()
 
 
+#: Entries a Remembered holds, in two generations of half as many; keys beyond that length are not kept.
+REMEMBERED, LONGEST_REMEMBERED = 800_000, 48
+
+
+class Remembered(dict):
+    """A dict that computes missing values; when full its entries become the old generation, and older ones go."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.old = compute, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
+                super().clear()
+            self[key] = value
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
+
+def parts_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Groups to deal `amount` (bytes, rows) into: of at most about `each`, and no fewer than there are shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(amount) // each))
+
+
+def text_bytes(rows: DataFrame, text_col: str) -> int:
+    """UTF-8 bytes of all texts and some for each row: one scan that reads the column and keeps two numbers."""
+    n, total = rows.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col).cast("string")))).first()
+    return 16 * n + (total or 0)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one zstd-compressed blob; see unpack."""
     import zstandard

@@ -1,99 +1,39 @@
-"""Sets of word shingles as 64-bit hashes, computed for whole Arrow batches with NumPy."""
+"""Sets of word shingles as 64-bit hashes.
+
+A word is hashed by XXH3, shingles from their words' hashes. That two different shingles get one hash has a chance of about
+2**-64, so a join of documents with S shingles in all meets one with a chance of about S * S / 2**65.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 WORDS = 5
-#: Bytes hashed at a time.
-CHUNK = 1 << 21
-_PRIME = 0x9E3779B97F4A7C15
+#: Bytes of a text that are taken at a time, and up to the next white space.
+CHUNK = 1 << 20
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_tables: dict[str, np.ndarray] = {}
-
-
-def _table(name: str) -> np.ndarray:
-    """Per worker: a random number per byte, and the powers of an odd number and of its inverse modulo 2**64."""
-    if not _tables:
-        rng = np.random.default_rng(20)
-        letters = rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        upper = np.arange(65, 91)
-        letters[upper] = letters[upper + 32]
-        inverse = pow(_PRIME, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _tables["up"] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK, _PRIME, np.uint64)]))
-            _tables["down"] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK, inverse, np.uint64)]))
-        space = np.zeros(256, bool)
-        space[[9, 10, 11, 12, 13, 32]] = True
-        _tables["letters"], _tables["space"] = letters, space
-    return _tables[name]
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _MIX
 
 
-def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of at most CHUNK bytes, A-Z as a-z; and how many start before each place in `cuts`.
-
-    No word spans a cut.
-    """
-    solid = ~_table("space")[data]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    inner = cuts[(cuts > 0) & (cuts < len(data))]
-    first[inner] = solid[inner]
-    last = solid.copy()
-    last[:-1] &= ~solid[1:]
-    last[inner - 1] = solid[inner - 1]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_table("letters")[data] * _table("up")[: len(data)], out=total[1:])
-        h = (total[end] - total[begin]) * _table("down")[begin]
-        return _mixed(_mixed(h ^ (end - begin).astype(np.uint64))), np.searchsorted(begin, cuts)
-
-
-def text_words(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """The word hashes of each text of a batch; a text over CHUNK bytes is hashed in parts that end at white space."""
-    k = 0
-    while k < len(offsets) - 1:
-        stop = max(k + 1, int(np.searchsorted(offsets, offsets[k] + CHUNK, "right")) - 1)
-        a, b = int(offsets[k]), int(offsets[stop])
-        if b - a <= CHUNK:
-            hashes, at = word_hashes(data[a:b], offsets[k : stop + 1] - a)
-            for i in range(stop - k):
-                yield hashes[at[i] : at[i + 1]]
-        else:
-            yield _long_text(data[a:b])
-        k = stop
-
-
-def _long_text(data: np.ndarray) -> np.ndarray:
-    """Words of one text over CHUNK bytes; of a word over CHUNK bytes the parts are hashed together."""
-    out, a, space = [], 0, _table("space")
-    while a < len(data):
-        b = min(a + CHUNK, len(data))
-        if b < len(data):
-            gaps = np.flatnonzero(space[data[a:b]])
-            if len(gaps):
-                b = a + int(gaps[-1]) + 1
-            else:  # a giant word: up to its end, by a cryptographic digest
-                b = a
-                while b < len(data) and not space[data[b : b + CHUNK]].any():
-                    b = min(b + CHUNK, len(data))
-                if b < len(data):
-                    b += int(np.flatnonzero(space[data[b : b + CHUNK]])[0])
-                word = data[a:b].tobytes().lower()
-                out.append(np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), np.uint64))
-                a = b
-                continue
-        out.append(word_hashes(data[a:b], np.zeros(0, np.int64))[0])
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of a text's words: runs of bytes other than white space of ASCII, A-Z as a-z; a word may be of any length."""
+    parts, a = [np.zeros(0, np.uint64)], 0
+    while a < len(text):
+        gap = _SPACE.search(text, a + CHUNK)
+        b = gap.start() if gap else len(text)
+        words = text[a:b].lower().split()
+        parts.append(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
         a = b
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(parts) if len(parts) > 2 else parts[-1]
 
 
 def shingle_set(words: np.ndarray, size: int = WORDS) -> np.ndarray:
@@ -111,15 +51,8 @@ def shingle_set(words: np.ndarray, size: int = WORDS) -> np.ndarray:
 
 def batch_sets(column, size: int = WORDS) -> Iterator[np.ndarray]:
     """The shingle set of each text of an Arrow string column; null and empty texts have none."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    column = pc.fill_null(column, "").cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    for words in text_words(data, offsets):
-        yield shingle_set(words, size)
+    for text in column:
+        yield shingle_set(word_hashes(text.as_buffer().to_pybytes() if text.is_valid else b""), size)
 
 
 def digest(hashes: np.ndarray) -> bytes:
