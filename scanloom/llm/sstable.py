@@ -28,11 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import encoder
-from .shared import filesystem, fresh_dir, publish
+from .shared import filesystem, fresh_dir, parts_for, publish, text_bytes
 
 MAGIC = b"SLSSTv01"
 RESTART = 16
 BLOCK_BYTES = 256 << 10
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 128 << 20
+#: Characters of a text by which rows of one id are dealt over shards.
+FRONT = 64
 BITS_PER_KEY, HASHES = 10, 7
 _FOOTER = struct.Struct("<QIQIIQQ8s")
 
@@ -48,13 +52,20 @@ def identifier_of(key: bytes) -> int | None:
     return bits - (1 << 63) if there else None
 
 
-def _bloom_bits(key: bytes, n_bits: int, hashes: int) -> list[int]:
-    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
-    return [(a + i * (b | 1)) % n_bits for i in range(hashes)]
+def _bloom_hash(key: bytes) -> bytes:
+    """Two 64-bit numbers of a key, of which all its bits in the filter follow."""
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
+def _bloom_bits(pairs: np.ndarray, n_bits: int, hashes: int) -> np.ndarray:
+    """Bits of the filter, a row for each row of two numbers."""
+    with np.errstate(over="ignore"):
+        steps = np.arange(hashes, dtype=np.uint64) * (pairs[:, 1:] | np.uint64(1))
+        return (pairs[:, :1] + steps) % np.uint64(n_bits)
 
 
 class Writer:
-    """Writes entries in ascending key order to a stream; holds one block, the sparse index and the filter's hashes."""
+    """Writes entries in ascending key order to a stream; holds one block, the sparse index and 16 bytes per key."""
 
     def __init__(self, out):
         import zstandard
@@ -63,7 +74,7 @@ class Writer:
         self.at, self.tokens, self.entries, self.block_from = 0, 0, 0, 0
         self.block, self.size, self.restarts, self.in_block, self.last = [], 0, [], 0, b""
         self.index: list[bytes] = []
-        self.keys: list[bytes] = []
+        self.hashed = bytearray()
 
     def add(self, key: bytes, ids: bytes) -> None:
         if self.entries and key <= self.last:
@@ -81,7 +92,7 @@ class Writer:
         self.entries += 1
         self.tokens += len(ids) // 4
         self.last = key
-        self.keys.append(key)
+        self.hashed += _bloom_hash(key)
         if self.size >= BLOCK_BYTES:
             self._end_block()
 
@@ -97,11 +108,13 @@ class Writer:
         if self.block:
             self._end_block()
         index = self.pack(b"".join(self.index))
-        n_bytes = max(8, len(self.keys) * BITS_PER_KEY + 7 >> 3)
-        bits = np.zeros(n_bytes * 8, bool)
-        for key in self.keys:
-            bits[_bloom_bits(key, n_bytes * 8, HASHES)] = True
-        bloom = np.packbits(bits, bitorder="little").tobytes()
+        pairs = np.frombuffer(bytes(self.hashed), "<u8").reshape(-1, 2)
+        n_bytes = max(8, len(pairs) * BITS_PER_KEY + 7 >> 3)
+        filled = np.zeros(n_bytes, np.uint8)
+        for a in range(0, len(pairs), 65_536):
+            bits = _bloom_bits(pairs[a : a + 65_536], n_bytes * 8, HASHES).ravel()
+            np.bitwise_or.at(filled, bits >> np.uint64(3), np.left_shift(1, bits & np.uint64(7)).astype(np.uint8))
+        bloom = filled.tobytes()
         self.out.write(index)
         self.out.write(bloom)
         self.out.write(_FOOTER.pack(self.at, len(index), self.at + len(index), n_bytes, HASHES, self.entries, self.tokens, MAGIC))
@@ -145,7 +158,8 @@ class Reader:
 
     def get(self, key: bytes) -> bytes | None:
         n_bits = len(self.bloom) * 8
-        if not all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _bloom_bits(key, n_bits, self.hashes)):
+        bits = _bloom_bits(np.frombuffer(_bloom_hash(key), "<u8").reshape(1, 2), n_bits, self.hashes)[0].tolist()
+        if not all(self.bloom[b >> 3] >> (b & 7) & 1 for b in bits):
             return None
         k = bisect.bisect_left(self.last, key)
         if k == len(self.last):
@@ -185,11 +199,11 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
                 last = i
                 table.add(key_of(i, number), encode.ids(text) + end)
             table.close()
-            info.update(entries=table.entries, tokens=table.tokens)
+            info.update(entries=table.entries, tokens=table.tokens, first=head[0], last=last)
 
         name = f"shard-{shard:06d}.sst"
         publish(folder, name, write)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "entries": [info["entries"]], "tokens": [info["tokens"]]})
+        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((shard, pa.int64()), (name, pa.string()), *((info[k], pa.int64()) for k in ("entries", "tokens", "first", "last")))], names=["shard", "name", "entries", "tokens", "first", "last"])
 
     return run
 
@@ -197,18 +211,21 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
 def write_token_tables(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Write every document's ids as sorted-string-table shards in ascending id order; returns the manifest.
 
-    Documents are dealt by ranges of their id and sorted, so shards follow one another and each is one task's
-    stream. The manifest (one line per shard, also written to the folder) is the only thing the driver sees.
-    Null texts are empty ones; a null id comes first; repeated ids follow in the order of their texts.
+    Documents are dealt by ranges of their id into shards of about SHARD_BYTES of text and sorted, so shards follow one
+    another and each is one task's stream. Rows of one id are dealt on by the front of their texts, so an id that
+    many rows share (or null) fills no shard. The manifest (one line per shard with its first and last id, also
+    written to the folder) is the only thing the driver sees. Null texts are empty ones; a null id comes first;
+    repeated ids follow in the order of their texts, and their numbers within the key begin anew in each shard.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    found = dealt.mapInArrow(_writer(folder, tokenizer_path, end_id), "shard long, name string, entries long, tokens long").collect()
+    parts = parts_for(spark, text_bytes(rows, "text"), SHARD_BYTES)
+    first = F.col("id").asc_nulls_first()
+    dealt = rows.withColumn("front", F.substring("text", 1, FRONT)).repartitionByRange(parts, first, "front").sortWithinPartitions(first, "text")
+    found = dealt.select("id", "text").mapInArrow(_writer(folder, tokenizer_path, end_id), "shard long, name string, entries long, tokens long, first long, last long").collect()
     manifest, before = [], 0
     for r in sorted(found, key=lambda r: r.shard):
-        manifest.append({"name": r.name, "entries": r.entries, "tokens": r.tokens, "tokens_before": before})
+        manifest.append({"name": r.name, "entries": r.entries, "tokens": r.tokens, "tokens_before": before, "first": r.first, "last": r.last})
         before += r.tokens
     publish(folder, "MANIFEST.json", lambda out: out.write(json.dumps(manifest).encode()))
     return manifest
@@ -252,16 +269,19 @@ def read_token_tables(spark: SparkSession, folder: str, *, id_col: str = "doc_id
 
 
 def lookup(folder: str, identifiers: list[int]) -> dict[int, np.ndarray]:
-    """Ids of single documents: one Bloom test, and on a hit two binary searches and one block, per shard."""
+    """Ids of single documents: the manifest names the shards to ask; there a Bloom test, two binary searches, one block."""
     store, path = filesystem(folder)
     with store.open_input_file(f"{path}/MANIFEST.json") as f:
         manifest = json.loads(f.read())
     found = {}
     for m in manifest:
+        wanted = [] if m["last"] is None else [i for i in identifiers if i not in found and (m["first"] is None or m["first"] <= i) and i <= m["last"]]
+        if not wanted:
+            continue
         with store.open_input_file(f"{path}/{m['name']}") as source:
             reader = Reader(source, source.size())
-            for i in identifiers:
-                if i not in found and (ids := reader.get(key_of(i))) is not None:
+            for i in wanted:
+                if (ids := reader.get(key_of(i))) is not None:
                     found[i] = np.frombuffer(ids, "<u4")
     return found
 

@@ -10,10 +10,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import least_unsigned, pack, unpack
+from .shared import least_unsigned, pack, parts_for, text_bytes, unpack
 
 #: A block is closed at so many characters or documents.
 BLOCK_CHARS, BLOCK_DOCS = 16 << 20, 50_000
+#: Bytes of text whose pre-tokens one task counts, about.
+PART_BYTES = 64 << 20
 _PRE_TOKEN = re.compile(r"\n[^ \n]*| +[^ \n]*")
 _CUT = re.compile(r"(?<! ) |\n")
 
@@ -48,45 +50,59 @@ class _Numbers(dict):
         return n
 
 
+_HEAD = "array<struct<i: long, b: long>>"
+_ROW = f"part int, block long, heads {_HEAD}, blob binary"
+
+
+def _arrow():
+    import pyarrow as pa
+
+    head = pa.list_(pa.struct([("i", pa.int64()), ("b", pa.int64())]))
+    return pa, pa.schema([("part", pa.int32()), ("block", pa.int64()), ("heads", head), ("blob", pa.binary())])
+
+
 def _block(rows: list, numbers: _Numbers, parts: int, block: int) -> Iterator[dict]:
-    ids = np.concatenate([u for *_, u, _ in rows] or [np.zeros(0, np.int64)])
-    freq = np.concatenate([f for *_, f in rows] or [np.zeros(0, np.int64)])
+    """A row with the block's frequencies, and for each part one with the distinct pre-tokens that are dealt to it.
+
+    The frequencies are, pre-token by pre-token in the order of the parts: how many documents hold it, the documents,
+    and how often each does.
+    """
+    ids = np.concatenate([u for *_, u, _ in rows])
+    freq = np.concatenate([f for *_, f in rows])
     doc = np.repeat(np.arange(len(rows)), [len(r[-1]) for r in rows])
-    order = np.argsort(ids, kind="stable")
-    ids, freq, doc = ids[order], freq[order], doc[order]
-    starts = np.searchsorted(ids, np.arange(len(numbers) + 1))
     names = [n.encode() for n in numbers]
     part = np.fromiter((zlib.crc32(n) for n in names), np.int64, len(names)) % parts
     by_part = np.argsort(part, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[by_part] = np.arange(len(names))
+    order = np.argsort(place[ids], kind="stable")
+    held = np.bincount(place[ids], minlength=len(names))
+    yield {"part": block % parts, "block": block, "heads": [{"i": r[0], "b": r[1]} for r in rows], "blob": pack(least_unsigned(held), least_unsigned(doc[order]), least_unsigned(freq[order]))}
     bounds = np.searchsorted(part[by_part], np.arange(parts + 1))
-    for p in range(parts):
-        mine = by_part[bounds[p] : bounds[p + 1]]
-        if not len(mine):
-            continue
-        lengths = starts[mine + 1] - starts[mine]
-        take = np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        text = b"".join(names[i] for i in mine)
-        sizes = np.fromiter((len(names[i]) for i in mine), np.int64, len(mine))
-        blob = pack(np.frombuffer(text, np.uint8), least_unsigned(sizes), least_unsigned(lengths), least_unsigned(doc[take]), least_unsigned(freq[take]))
-        yield {"part": p, "block": block, "docs": len(rows), "heads": None, "blob": blob}
+    for p in np.unique(part).tolist():
+        mine = [names[i] for i in by_part[bounds[p] : bounds[p + 1]]]
+        sizes = np.fromiter(map(len, mine), np.int64, len(mine))
+        yield {"part": p, "block": block, "heads": None, "blob": pack(np.frombuffer(b"".join(mine), np.uint8), least_unsigned(sizes))}
 
 
 def _mapper(parts: int):
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("docs", pa.int32()), ("heads", pa.list_(pa.struct([("i", pa.int64()), ("b", pa.int64())]))), ("blob", pa.binary())])
+        pa, schema = _arrow()
         first = TaskContext.get().partitionId() << 32
         rows, numbers, chars, blocks = [], _Numbers(), 0, 0
 
         def flush():
             nonlocal rows, numbers, chars, blocks
-            block = first + blocks
-            head = {"part": block % parts, "block": block, "docs": len(rows), "heads": [{"i": r[0], "b": r[1]} for r in rows], "blob": None}
-            yield pa.RecordBatch.from_pylist([head], schema)
-            for x in _block(rows, numbers, parts, block):
-                yield pa.RecordBatch.from_pylist([x], schema)
+            out = []
+            for x in _block(rows, numbers, parts, first + blocks):
+                out.append(x)
+                if len(out) == 64:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
             rows, numbers, chars = [], _Numbers(), 0
             blocks += 1
 
@@ -111,61 +127,70 @@ def _mapper(parts: int):
     return run
 
 
-def _counter(model_path: str):
-    def run(table):
-        import pyarrow as pa
+def _model(path: str):
+    if path not in _models:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        countable(model)
-        pieces: dict[bytes, int] = {}
-        out = []
-        for block, docs, heads, blob in zip(*(table.column(c).to_pylist() for c in ("block", "docs", "heads", "blob")), strict=True):
-            if blob is None:
-                out.append({"block": block, "docs": docs, "heads": heads, "blob": None})
-                continue
-            text, sizes, lengths, doc, freq = unpack(blob)
-            ends = np.cumsum(sizes, dtype=np.int64)
-            raw = text.tobytes()
-            names = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            new = [n for n in names if n not in pieces]
-            # A newline is a byte piece of its own after the model's word marker: two pieces in front of the pre-token's.
-            pieces.update(zip(new, (len(x) - 2 for x in model.encode(["\n" + n.decode() for n in new], num_threads=1)), strict=True))
-            count = np.fromiter((pieces[n] for n in names), np.int64, len(names))
-            total = np.bincount(doc, weights=np.repeat(count, lengths) * freq, minlength=docs).astype(np.int64)
-            out.append({"block": block, "docs": docs, "heads": None, "blob": pack(least_unsigned(total))})
-        schema = pa.schema([("block", pa.int64()), ("docs", pa.int32()), ("heads", table.schema.field("heads").type), ("blob", pa.binary())])
-        return pa.Table.from_pylist(out, schema)
+        _models[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+        countable(_models[path])
+    return _models[path]
+
+
+_models: dict = {}
+
+
+def _counter(model_path: str):
+    """Reducer of a part, row by row: for each block, in the order of its pre-tokens, how many pieces each has."""
+
+    def run(batches):
+        pa, schema = _arrow()
+        model, pieces = _model(model_path), {}
+        for batch in batches:
+            out = batch.to_pylist()
+            for r in out:
+                if r["heads"] is not None:
+                    continue
+                text, sizes = unpack(r["blob"])
+                ends, raw = np.cumsum(sizes, dtype=np.int64).tolist(), text.tobytes()
+                names = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                new = [n for n in names if n not in pieces]
+                # A newline is a byte piece of its own after the model's word marker: two pieces in front of the pre-token's.
+                pieces.update(zip(new, (len(x) - 2 for x in model.encode(["\n" + n.decode() for n in new], num_threads=1)), strict=True))
+                r["blob"] = pack(least_unsigned(np.fromiter(map(pieces.__getitem__, names), np.int64, len(names))))
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
 
 def _summed(table):
+    """The documents of a block: every pre-token's pieces times its frequencies, added up by document."""
     import pyarrow as pa
 
-    total, heads = np.zeros(table.column("docs")[0].as_py(), np.int64), None
-    for h, blob in zip(table.column("heads").to_pylist(), table.column("blob"), strict=True):
-        if blob.is_valid:
-            total += unpack(blob.as_py())[0].astype(np.int64)
+    heads, postings, counts = None, None, [np.zeros(0, np.int64)]
+    for _, h, blob in sorted(zip(table.column("part").to_pylist(), table.column("heads").to_pylist(), table.column("blob").to_pylist(), strict=True), key=lambda r: r[0]):
+        if h is not None:
+            heads, postings = h, unpack(blob)
         else:
-            heads = h
+            counts.append(unpack(blob)[0])
+    held, doc, freq = postings
+    total = np.bincount(doc, weights=np.repeat(np.concatenate(counts), held) * freq.astype(np.int64), minlength=len(heads)).astype(np.int64)
     return pa.table({"id": pa.array([h["i"] for h in heads], pa.int64()), "n_bytes": pa.array([h["b"] for h in heads], pa.int64()), "n_tokens": pa.array(total)})
 
 
 def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """Per document: its id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
-    Each task cuts its documents into blocks, numbers a block's distinct pre-tokens and deals them, with the
-    frequency of each in each document, by the pre-token's hash. There every distinct pre-token is encoded once;
-    its count times the frequencies gives partial sums per document, which are added per block. Only pre-tokens
-    and small integers are shuffled, and the rows of a group number at most one per block, so no key is hot.
+    Each task cuts its documents into blocks and numbers a block's distinct pre-tokens. These are dealt by hash over
+    as many parts as the bytes of text ask for; a part encodes every distinct pre-token once and answers each block
+    with the counts of its pre-tokens, which are joined there to their frequencies per document and summed. A
+    pre-token of all documents is one entry per block, so none is hot; a part is streamed and holds its distinct
+    pre-tokens only, a block has at most BLOCK_CHARS characters and one document more.
 
     Null and empty texts count 0 tokens and 0 bytes. A null id and repeated rows stay, one result row each. An
     empty table gives an empty result. Other columns are not read. A text of any length is split in steps.
     """
-    spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mapped = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_mapper(parts), "part int, block long, docs int, heads array<struct<i: long, b: long>>, blob binary")
-    partial = mapped.groupBy("part").applyInArrow(_counter(model_path), "block long, docs int, heads array<struct<i: long, b: long>>, blob binary")
-    sums = partial.groupBy("block").applyInArrow(_summed, "id long, n_bytes long, n_tokens long")
+    parts = parts_for(docs.sparkSession, text_bytes(docs, text_col), PART_BYTES)
+    mapped = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_mapper(parts), _ROW)
+    answered = mapped.repartition(parts, "part").mapInArrow(_counter(model_path), _ROW)
+    sums = answered.groupBy("block").applyInArrow(_summed, "id long, n_bytes long, n_tokens long")
     return sums.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
