@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .encode import encoder
 
-#: Windows left partly filled in a task at most; beyond it they are joined up, which bounds a task's memory.
-OPEN_WINDOWS = 2048
+#: Tokens of a run, about: a task packs its documents run by run, and holds the ids of a run's open windows.
+RUN_TOKENS = 32 << 20
 
 
 class SumOfSquares:
@@ -60,27 +60,43 @@ class SumOfSquares:
         return out
 
 
-def _joined(windows: list[list[tuple]], size: int) -> list[list[tuple]]:
-    """The pieces of partly filled windows laid end to end and cut into full windows, and what is left into powers of two.
+def filled(windows: list[list[tuple]], size: int) -> list[list[tuple]]:
+    """The windows with what they lack taken from the emptiest; what is left at last, cut into powers of two.
 
-    A piece is (document, tokens before it, ids, number of tokens); cutting splits the ids.
+    A piece is (document, tokens before it, ids, number of tokens); cutting splits the ids. Only the gaps' tokens leave
+    the window that they were placed in.
     """
-    pieces = [p for w in windows for p in w]
-    left = sum(p[-1] for p in pieces)
-    lengths = [size] * (left // size) + [1 << b for b in range(size.bit_length() - 1, -1, -1) if left % size >> b & 1]
-    out, at = [], 0
-    for want in lengths:
-        window = []
+    out, held = [], sorted(windows, key=lambda w: sum(p[-1] for p in w))
+    spare, kept = [], 0  # pieces of the emptiest windows, to be taken from the end
+
+    def take(want: int) -> list[tuple]:
+        nonlocal kept
+        pieces = []
+        kept -= want
         while want:
-            doc, start, ids, n = pieces[at]
-            take = min(n, want)
-            window.append((doc, start, ids[: 4 * take], take))
-            want -= take
-            if take < n:
-                pieces[at] = (doc, start + take, ids[4 * take :], n - take)
-            else:
-                at += 1
-        out.append(window)
+            doc, start, ids, n = spare.pop()
+            cut = min(n, want)
+            if cut < n:
+                spare.append((doc, start, ids[: 4 * (n - cut)], n - cut))
+            pieces.append((doc, start + n - cut, ids[4 * (n - cut) :], cut))
+            want -= cut
+        return pieces
+
+    left = 0
+    while left < len(held):
+        window = held.pop()
+        gap = size - sum(p[-1] for p in window)
+        while kept < gap and left < len(held):
+            spare.extend(held[left])
+            kept += sum(p[-1] for p in held[left])
+            left += 1
+        if kept < gap:
+            spare.extend(window)
+            kept += size - gap
+        else:
+            out.append(window + take(gap))
+    while kept:  # full windows, and then the largest power of two that the rest holds
+        out.append(take(size if kept >= size else 1 << (kept.bit_length() - 1)))
     return out
 
 
@@ -94,7 +110,7 @@ def _packer(tokenizer_path: str, end_id: int, size: int):
         names = "doc", "start", "length", "crc", "doc_tokens", "sequence", "offset"
         schema = pa.schema([(n, pa.int64()) for n in names])
         encode, packer = encoder(tokenizer_path), SumOfSquares(size)
-        sequence, rows = TaskContext.get().partitionId() << 40, []
+        sequence, rows, run_tokens = TaskContext.get().partitionId() << 40, [], 0
 
         def emit(windows):
             nonlocal sequence
@@ -120,16 +136,13 @@ def _packer(tokenizer_path: str, end_id: int, size: int):
                     full = packer.place(((doc, total), whole, ids[4 * whole :], total - whole))
                     if full:
                         emit([full])
-                if packer.level.sum() > OPEN_WINDOWS:
-                    windows = _joined(packer.rest(), size)
-                    emit(w for w in windows if sum(p[-1] for p in w) == size)
-                    for w in windows:
-                        if sum(p[-1] for p in w) < size:
-                            for p in w:
-                                packer.place(p)
+                run_tokens += total
+                if run_tokens >= RUN_TOKENS:
+                    emit(filled(packer.rest(), size))
+                    run_tokens = 0
                 if len(rows) >= 10_000:
                     yield batch_of()
-        emit(_joined(packer.rest(), size))
+        emit(filled(packer.rest(), size))
         if rows:
             yield batch_of()
 
@@ -141,11 +154,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, siz
 
     Every document is its ids (no special tokens added) and then `end_id`. What fills whole windows of `size`
     tokens is cut off its front; the rest goes, as the documents arrive, to the fill level chosen by
-    `SumOfSquares`. At a task's end the few windows still open are laid end to end, cut into full windows, and
-    the last part into windows whose lengths are powers of two, which need no padding.
+    `SumOfSquares`. At the end of a run, of RUN_TOKENS tokens or the task, the windows still open are mostly nearly
+    full. What they lack is cut from the emptiest of them, and the last part is cut into windows whose lengths are
+    powers of two; so nothing is padded, and all other tokens stay where the method placed them.
 
-    Each task packs what it reads and nothing is shuffled; a task holds the ids of its open windows only (at most
-    OPEN_WINDOWS + 1) and of one document. Sequence ids are the partition's number times 2**40 plus a counter.
+    Each task packs what it reads and nothing is shuffled; a task holds the ids of a run's open windows (fewer than
+    RUN_TOKENS tokens and a document) and of one document. Sequence ids are the partition's number times 2**40 plus a
+    counter.
 
     Returns id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null or empty text is the end id
     alone. A null id and repeated rows are packed like any other row. An empty table gives no rows. Columns

@@ -10,10 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import make_room
+from .shared import make_room, written
 
-#: Bounds of the fit: labelled documents, and words with a score of their own.
-TRAIN_ROWS, VOCABULARY = 20_000, 20_000
+#: Labelled documents that the fit takes at most: those of least hash of their id. All else follows from them whole.
+TRAIN_ROWS = 20_000
 #: Share of the tokens that the Dirichlet prior weighs; least |z| of a word that scores; score of any other word.
 PRIOR, LEAST_Z, NEUTRAL = 0.2, 4.0, -0.05
 _WORD = re.compile(r"[^\W_]+")
@@ -99,25 +99,26 @@ def _word_counts(batches):
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for w in set(words_of(text)):  # once per document: repetition within one says nothing about the others
-                if len(w) <= 64:
-                    counts.setdefault(w, [0, 0])[toxic] += 1
+                counts.setdefault(w, [0, 0])[toxic] += 1
             if len(counts) > 500_000:
                 yield rows()
     if counts:
         yield rows()
 
 
-def _statistics(scores: dict[str, float], decay: float):
+def _statistics(model: Model, value):
+    """Per text: toxic or not, and value(segments, number of words), null for a text without a segment."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(0).to_pylist():
                 words = words_of(text)
-                s = sorted((s * decay for _, _, s in segments_of(words, scores)), reverse=True)[:64]
-                out.append({"n": len(words), "toxic": toxic, "best": s})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("n", pa.int64()), ("toxic", pa.int32()), ("best", pa.list_(pa.float64()))]))
+                segments = segments_of(words, model.scores)
+                out.append(value(segments, len(words)) if segments else None)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.float64())], names=["toxic", "x"])
 
     return run
 
@@ -154,14 +155,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Learn the model from at most `train_rows` labelled documents outside the held-out fold.
 
     The sample (rows of least hash of their id) is the documented bound that lets it be broadcast to the
-    documents and its statistics come to the driver. Words are counted per class in Spark; a word's log-odds
-    ratio has a Dirichlet prior proportional to its frequency in the whole sample.
+    documents and its statistics come to the driver: two numbers a document, and the words that score, which are no
+    more than the sample's. Whole texts, words of any length and all segments take part, as they do in scoring.
+    Words are counted per class in Spark; a word's log-odds ratio has a Dirichlet prior proportional to its frequency
+    in the whole sample. Without labels of both kinds nothing is toxic. An id with several labels has the largest.
     """
     key = F.col(id_col).cast("string")
-    labelled = labels.where((F.crc32(key) % folds != held_out_fold) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
-    sample = labelled.orderBy(F.xxhash64(id_col), id_col).limit(train_rows)
-    texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), id_col).select("text", "toxic")
+    labelled = labels.where((F.crc32(key) % folds != held_out_fold) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    sample = labelled.orderBy(F.xxhash64("id"), "id").limit(train_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = written(rows.join(F.broadcast(sample), "id").select("text", "toxic"), "toxicity-sample")
     counts = texts.mapInArrow(_word_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = written(counts, "toxicity-words")
     sums = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     n1, n0 = float(sums[0] or 0), float(sums[1] or 0)
     if not n1 or not n0:
@@ -171,22 +176,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     y1, y0 = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(y1 / (n1 + weight - y1)) - F.log(y0 / (n0 + weight - y0))
     scored = counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / y1 + 1 / y0))
-    kept = scored.where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(VOCABULARY).collect()
-    scores = {r.word: float(r.odds) for r in sorted(kept, key=lambda r: r.word)}
-    at = np.array([*scores.values(), NEUTRAL])
-    seen = {r.word: r.clean for r in kept}
-    share = np.array([seen[w] + 0.5 for w in scores] + [0.0]) / (n0 + 0.5 * len(scores))
+    kept = scored.where(F.abs("z") >= LEAST_Z).orderBy("word").collect()
+    scores = {r.word: float(r.odds) for r in kept}
+    share = np.array([r.clean + 0.5 for r in kept] + [0.0]) / (n0 + 0.5 * len(scores))
     share[-1] = max(0.0, 1 - share.sum())
-    decay = _decay(at, share)
-    found = texts.mapInArrow(_statistics(scores, decay), "n long, toxic int, best array<double>").collect()
-    found.sort(key=lambda r: (r.n, r.toxic, r.best))
-    tops = [r.best[0] - math.log(r.n) for r in found if r.best and not r.toxic]
+    decay = _decay(np.array([*scores.values(), NEUTRAL]), share)
+    told = lambda model, value: texts.mapInArrow(_statistics(model, value), "toxic int, x double").collect()
+    tops = sorted(r.x for r in told(Model(scores, decay, 0.0, 1.0, 0.0), lambda found, n: decay * max(s for *_, s in found) - math.log(n)) if r.x is not None and not r.toxic)
     # The mean of a Gumbel variable with unit decay lies Euler's constant above its mode.
-    log_k = (float(np.mean(tops)) if tops else 0.0) - 0.5772156649
-    raw = Model(scores, 1.0, log_k, 1.0, 0.0)
-    x = np.array([squash(raw.significance([(0, 0, s) for s in r.best], r.n) if r.best else -20.0) for r in found])
-    slope, shift = _logistic(x, np.array([r.toxic for r in found], float))
-    return Model(scores, decay, log_k, slope, shift)
+    raw = Model(scores, decay, (float(np.mean(tops)) if tops else 0.0) - 0.5772156649, 1.0, 0.0)
+    found = sorted((squash(-20.0 if r.x is None else r.x), r.toxic) for r in told(raw, raw.significance))
+    slope, shift = _logistic(np.array([x for x, _ in found]), np.array([y for _, y in found], float))
+    return Model(scores, decay, raw.log_k, slope, shift)
 
 
 def _scorer(model: Model):
