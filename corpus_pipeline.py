@@ -45,16 +45,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The total is set so that no domain of good quality has to be cut: those are repeated where they lack tokens,
     and only low-quality domains are thinned out.
     """
-    labelled = domain_labels(docs, _labels(spark, sf_dir))
-    if labelled.isEmpty():
+    classifier = mixing.fit_classifier(docs, domain_labels(docs, _labels(spark, sf_dir)))
+    if not classifier.domains:  # nothing is labelled, so nothing is known to mix
         return docs
-    classifier = mixing.fit_classifier(docs, labelled)
-    members = written(mixing.memberships(docs, classifier), "memberships")
-    now = mixing.totals_of(members, classifier)
+    # Whole rows are written with what they hold of each domain, so that no text is looked at twice.
+    rows = written(mixing.weighed(docs, classifier), "weighed")
+    now = mixing.totals_of(rows, classifier)
     weight = sum(MIX.get(d, 0.0) for d in now)
     total = max((v * weight / MIX[d] for d, v in now.items() if d.endswith(":1") and MIX.get(d)), default=sum(now.values()))
-    rates = mixing.fit_rates(members, mixing.targets_of(members, classifier, MIX, total))
-    return mixing.resampled(docs, rates, classifier)
+    rates = mixing.fit_rates(rows, mixing.targets_of(rows, classifier, MIX, total))
+    return mixing.repeated(rows, rates)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
