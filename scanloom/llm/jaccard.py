@@ -48,7 +48,7 @@ def _arrow():
     return pa, pa.schema([("part", pa.int32()), ("block", pa.int64()), ("heads", head), ("blob", pa.binary())])
 
 
-def _dealer(parts: int, share: float, bits: int, size: int):
+def _dealer(parts: int, share: float, bits: int, size: int, block_shingles: int, block_docs: int):
     """Mapper: per block of documents one row with its heads and postings, and per range of hashes the distinct ones in it.
 
     A hash that a large part of the block's documents hold is one entry there, with their number: no range is hot.
@@ -86,7 +86,7 @@ def _dealer(parts: int, share: float, bits: int, size: int):
                 heads.append({"id": i, "n": len(hashes), "digest": digest(hashes)})
                 held.append(hashes[: np.searchsorted(hashes, np.uint64(limit))] if share < 1 else hashes)
                 total += len(held[-1])
-                if total >= BLOCK_SHINGLES or len(heads) >= BLOCK_DOCS:
+                if total >= block_shingles or len(heads) >= block_docs:
                     yield from flush()
         if heads:
             yield from flush()
@@ -174,7 +174,7 @@ def _prefixes(num: int, den: int):
 def _counted(docs: DataFrame, amount: int, share: float, bits: int, size: int, detail: bool) -> DataFrame:
     """The counters' answers for all blocks of `amount` bytes of text, dealt so that a range's hashes fit a task."""
     parts = 4 * parts_for(docs.sparkSession, share * amount, 4 * PART_BYTES)
-    dealt = docs.mapInArrow(_dealer(parts, share, bits, size), _ROW)
+    dealt = docs.mapInArrow(_dealer(parts, share, bits, size, BLOCK_SHINGLES, BLOCK_DOCS), _ROW)
     return dealt.groupBy("part").applyInArrow(_counter(detail), _ROW)
 
 

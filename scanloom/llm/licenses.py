@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .license_texts import NOTICES, SPELLINGS, variants
 
 #: A line that only says who holds the copyright: it opens with the word or a sign, perhaps after marks of a comment.
-_COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|by )|\(c\)[ \t]+|©|all rights reserved)[^\n]*$"
-_NO_WORD = r"[^\p{L}\p{N}\n]+"
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|by )|\(c\)[ \t]+|©|all rights reserved)[^\n]*$"
+NO_WORD = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical(text: Column) -> Column:
@@ -17,8 +17,9 @@ def canonical(text: Column) -> Column:
 
     Two spaces stand between words, so that neighbours do not share one while spellings are made equal.
     """
-    c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT_LINE, "")
-    c = F.concat(F.lit(" "), F.replace(F.regexp_replace(c, _NO_WORD, "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    # (?d): a line ends at a line feed only.
+    c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?d)" + COPYRIGHT_LINE, "")
+    c = F.concat(F.lit(" "), F.replace(F.regexp_replace(c, NO_WORD, "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     return _respelt(c, [p for p in SPELLINGS if " " not in p[0]])
 
 
@@ -39,34 +40,34 @@ def whole(c: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """license_id, kind ('text' or 'notice'), digest of the built-in licences in all their forms; some hundred rows."""
-    rows = [(i, "text", t) for i, t in variants()] + [(i, "notice", t) for i, t in NOTICES]
-    frame = spark.createDataFrame(rows, "license_id string, kind string, text string")
-    return frame.select("license_id", "kind", F.sha2(whole(canonical(F.col("text"))), 256).alias("digest"))
+    """license_id and digest of the built-in licences in all their forms; some hundred rows."""
+    return digests(spark.createDataFrame(variants(), "license_id string, text string"))
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(licenses: DataFrame) -> DataFrame:
+    """license_id and digest of a table of license_id and text."""
+    return licenses.select("license_id", F.sha2(whole(canonical(F.col("text"))), 256).alias("digest"))
+
+
+def scan_licenses(docs: DataFrame, known: DataFrame | None = None, *, notices: list[tuple[str, str]] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, digest of its canonical text, license_id of the known licence it is as a whole, notice_ids.
 
-    The digest is hash-joined to the known digests, which are broadcast: they are a table of licences (at most
-    MAX_KNOWN rows, checked), not data. notice_ids are the licences, sorted, of which a line of the text is a known
-    notice; they come from the same digests by lookup in a literal map. Nothing is shuffled.
+    The digest is hash-joined to the known ones (license_id, digest), of which there may be any number: nothing is
+    forced, so a table as small as the built-in one is broadcast, by Spark's measure of it, and a larger one is
+    joined by shuffled digests. notice_ids are the licences, sorted, of which a line of the text is one of the
+    `notices`, a list in the program; they come from the same digests by lookup in a literal map.
 
     Null and empty texts have the digest of "" and no licence. Null ids and repeated rows stay, one result row
-    each. Of known licences with one digest the least identifier counts. Other columns are not read.
+    each. Of known licences with one digest the least identifier counts. Other columns are not read. An empty table
+    gives no rows, a text may have any length.
     """
     spark = docs.sparkSession
     known = known_licenses(spark) if known is None else known
-    rows = known.groupBy("kind", "digest").agg(F.min("license_id").alias("license_id")).limit(MAX_KNOWN + 1).collect()
-    if len(rows) > MAX_KNOWN:
-        raise ValueError(f"more than {MAX_KNOWN} known licences")
-    texts = spark.createDataFrame([(r.digest, r.license_id) for r in rows if r.kind == "text"], "digest string, license_id string")
-    notices = {r.digest: r.license_id for r in sorted(rows, key=lambda r: r.digest) if r.kind == "notice"}
-    lookup = F.create_map(*[F.lit(x) for pair in (notices or {"": ""}).items() for x in pair])
-    c = docs.select(F.col(id_col).alias(id_col), canonical(F.col(text_col).cast("string")).alias("c"))
+    known = known.where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    forms = digests(spark.createDataFrame(notices, "license_id string, text string")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    named = {r.digest: r.license_id for r in sorted(forms.collect())}
+    lookup = F.create_map(*[F.lit(x) for pair in (named or {"": ""}).items() for x in pair])
+    c = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col).cast("string")).alias("c"))
     lines = F.transform(F.split("c", "\n"), lambda x: F.element_at(lookup, F.sha2(_line(x), 256)))
-    found = c.select(id_col, F.sha2(whole(F.col("c")), 256).alias("digest"), F.array_sort(F.array_distinct(F.filter(lines, lambda x: x.isNotNull()))).alias("notice_ids"))
-    return found.join(F.broadcast(texts), "digest", "left").select(id_col, "digest", "license_id", "notice_ids")
-
-
-MAX_KNOWN = 5_000
+    found = c.select("id", F.sha2(whole(F.col("c")), 256).alias("digest"), F.array_sort(F.array_distinct(F.filter(lines, lambda x: x.isNotNull()))).alias("notice_ids"))
+    return found.join(known, "digest", "left").select(F.col("id").alias(id_col), "digest", "license_id", "notice_ids")

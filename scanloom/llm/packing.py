@@ -100,10 +100,10 @@ def filled(windows: list[list[tuple]], size: int) -> list[list[tuple]]:
     return out
 
 
-def _packer(tokenizer_path: str, end_id: int, size: int):
+def _packer(tokenizer_path: str, end_id: int, size: int, run: int):
     end = np.asarray([end_id], "<u4").tobytes()
 
-    def run(batches):
+    def pack(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
@@ -137,7 +137,7 @@ def _packer(tokenizer_path: str, end_id: int, size: int):
                     if full:
                         emit([full])
                 run_tokens += total
-                if run_tokens >= RUN_TOKENS:
+                if run_tokens >= run:
                     emit(filled(packer.rest(), size))
                     run_tokens = 0
                 if len(rows) >= 10_000:
@@ -146,7 +146,7 @@ def _packer(tokenizer_path: str, end_id: int, size: int):
         if rows:
             yield batch_of()
 
-    return run
+    return pack
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,5 +168,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, siz
     """
     if size & (size - 1) or size < 1:
         raise ValueError("size must be a power of two")
-    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_packer(tokenizer_path, end_id, size), "doc long, start long, length long, crc long, doc_tokens long, sequence long, offset long")
+    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_packer(tokenizer_path, end_id, size, RUN_TOKENS), "doc long, start long, length long, crc long, doc_tokens long, sequence long, offset long")
     return pieces.select(F.col("doc").alias(id_col), "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", F.col("sequence").alias("sequence_id"), "offset")

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .license_texts import NOTICES, SPELLINGS, variants
+from .licenses import COPYRIGHT_LINE, NO_WORD
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +81,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
-    return scan_licenses(_table(spark, sf_dir, "documents"))
+    return scan_licenses(_table(spark, sf_dir, "documents")).withColumn("notice_ids", F.array_join("notice_ids", ","))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,40 @@ QUERIES = {
     "op10_token_tables": op10_token_tables,
 }
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _respelt_sql(value: str, phrases: bool) -> str:
+    for found, put in SPELLINGS:
+        if (" " in found) == phrases:
+            value = f"replace({value}, {_quoted(f' {found} '.replace(' ', '  ')[1:-1])}, {_quoted(f' {put} '.replace(' ', '  ')[1:-1])})"
+    return value
+
+
+def licenses_sql() -> str:
+    """Digests of documents, known licences and notices, all by the same macros of SQL."""
+    rows = lambda pairs: ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in pairs)
+    bare = f"regexp_replace(lower(coalesce(text, '')), {_quoted(COPYRIGHT_LINE)}, '', 'g')"
+    spaced = f"' ' || replace(regexp_replace({bare}, {_quoted(NO_WORD)}, '  ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
+    line = lambda c: f"sha256(trim(regexp_replace({_respelt_sql(c, True)}, ' +', ' ', 'g'), ' '))"
+    flat = f"regexp_replace(c, '[ ' || chr(10) || ']+', '  ', 'g')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_respelt_sql(spaced, False)} AS c FROM documents),
+        known AS (SELECT digest, min(id) AS license_id FROM (SELECT id, {line(flat)} AS digest
+          FROM (SELECT id, {_respelt_sql(spaced, False)} AS c FROM (VALUES {rows(variants())}) t(id, text))) WHERE digest <> sha256('') GROUP BY digest),
+        notices AS (SELECT digest, min(id) AS license_id FROM (SELECT id, {line(flat)} AS digest
+          FROM (SELECT id, {_respelt_sql(spaced, False)} AS c FROM (VALUES {rows(NOTICES)}) t(id, text))) GROUP BY digest),
+        l AS (SELECT n, {line('c')} AS digest FROM (SELECT n, unnest(string_split(c, chr(10))) AS c FROM d)),
+        m AS (SELECT n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notice_ids FROM l JOIN notices USING (digest) GROUP BY n),
+        w AS (SELECT n, doc_id, {line(flat)} AS digest FROM d)
+        SELECT doc_id, digest, license_id, coalesce(notice_ids, '') AS notice_ids FROM w LEFT JOIN known USING (digest) LEFT JOIN m USING (n)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_licenses": licenses_sql(),
     "op2_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -85,7 +85,7 @@ def _block(rows: list, numbers: _Numbers, parts: int, block: int) -> Iterator[di
         yield {"part": p, "block": block, "heads": None, "blob": pack(np.frombuffer(b"".join(mine), np.uint8), least_unsigned(sizes))}
 
 
-def _mapper(parts: int):
+def _mapper(parts: int, block_chars: int, block_docs: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -119,7 +119,7 @@ def _mapper(parts: int):
                     u = f = np.zeros(0, np.int64)
                 rows.append((i, len(text.encode()), u, f))
                 chars += len(text)
-                if chars >= BLOCK_CHARS or len(rows) >= BLOCK_DOCS:
+                if chars >= block_chars or len(rows) >= block_docs:
                     yield from flush()
         if rows:
             yield from flush()
@@ -190,7 +190,7 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     empty table gives an empty result. Other columns are not read. A text of any length is split in steps.
     """
     parts = parts_for(docs.sparkSession, text_bytes(docs, text_col), PART_BYTES)
-    mapped = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_mapper(parts), _ROW)
+    mapped = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_mapper(parts, BLOCK_CHARS, BLOCK_DOCS), _ROW)
     answered = mapped.repartition(parts, "part").mapInArrow(_counter(model_path), _ROW)
     sums = answered.groupBy("block").applyInArrow(_summed, "id long, n_bytes long, n_tokens long")
     return sums.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

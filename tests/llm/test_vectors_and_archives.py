@@ -6,8 +6,10 @@ import io
 import numpy as np
 import pytest
 
-from scanloom.llm.exact_topk import top_products
-from scanloom.llm.lsh_forest import Forest, Hashes, nearest
+from scanloom.llm import lsh_forest
+from scanloom.llm.exact_topk import axes_of, top_products
+from scanloom.llm.lsh_forest import Forest, Hashes, agreed, best_candidates, nearest, tuned
+from scanloom.llm.queries import ORACLE_SQL
 from scanloom.llm.warc import archived_pages, digest_of, read_warc, records, write_warc
 
 SCHEMA = "vec_id long, embedding array<float>, id long, v string, score int"
@@ -57,14 +59,76 @@ def test_forest_recall_and_order(spark):
 def test_forest_ranges_hold_exactly_the_shared_prefixes():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((200, 8))
-    h = Hashes(np.zeros(8), 5.0, 3, trees=3, bits=10)
-    f, asked = Forest(x, h), h.strings(x[:10], query=True)
-    strings = h.strings(x, query=False)
+    h = Hashes(np.zeros(8), 5.0, 3, trees=3, symbols=3, bits=4)
+    strings, asked = h.strings(x, query=False), h.strings(x[:10], query=True)
+    f = Forest(strings, h.length)
     low, high = f.ranges(asked, 30)
     for q in range(10):
         found = [set(f.orders[t][low[q, t] : high[q, t]].tolist()) for t in range(3)]
-        levels = [{lv for lv in range(11) if {k for k in range(200) if lv == 0 or strings[k, t] >> np.uint64(64 - lv) == asked[q, t] >> np.uint64(64 - lv)} == found[t]} for t in range(3)]
-        assert set.intersection(*levels) and sum(map(len, found)) >= 30
+        shared = lambda lv: [{k for k in range(200) if lv == 0 or strings[k, t] >> np.uint64(64 - lv) == asked[q, t] >> np.uint64(64 - lv)} for t in range(3)]  # noqa: B023, E731
+        level = max(lv for lv in range(13) if sum(map(len, shared(lv))) >= 30)
+        assert found == shared(level)
+        assert f.votes(low[q], high[q]).tolist() == [sum(k in x for x in found) for k in range(200)]
+
+
+def test_forest_scores_few_of_many_shards_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 48))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    got = {}
+    for r in nearest(table(spark, x.tolist()), shard_rows=900, query_rows=70).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(np.float32).astype(float)
+    hits = 0
+    for q in range(0, 4000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(got) == 0.9 * 20 * 200
+    h = Hashes(np.zeros(48), 1.0, 7)
+    share, least, _ = tuned(x[:900], h, 21, 0.96)
+    f, asked = Forest(h.strings(x[:900], query=False), h.length), h.strings(x[900:1000], query=True)
+    low, high = f.ranges(asked, int(share * 900 * f.trees))
+    assert np.mean([len(agreed(f.votes(a, b), least, 21)) for a, b in zip(low, high, strict=True)]) < 0.5 * 900
+
+
+def test_tuning_uses_the_forest_at_500_vectors():
+    x = np.random.default_rng(3).standard_normal((500, 16))
+    h = Hashes(np.zeros(16), float(np.sqrt((x * x).sum(1).max())), 7)
+    share, _, scored = tuned(x, h, 5, 0.9)
+    assert share < 1 and scored < 0.9
+
+
+def test_equal_scores_keep_the_least_ids():
+    rng = np.random.default_rng(0)
+    v = np.zeros((600, 9))
+    v[:, 0], v[:, 1:] = 1.0, rng.standard_normal((600, 8))
+    places, scores = best_candidates(v, np.arange(600), np.arange(600), np.eye(9)[0], 20)
+    assert places.tolist() == list(range(20)) and (scores == 1).all()
+
+
+@pytest.mark.parametrize("search", [nearest, top_products])
+def test_searches_of_odd_tables(spark, search):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (None, [9.0, 9.0]), (1, [3.0, 5.0]), (1, [3.0, 5.0]), (2, [2.0, 1.0])]
+    found = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in sorted(found, key=lambda r: r.rank)] == [(0, 1, 1), (0, 2, 2)]
+    with pytest.raises(ValueError, match="of 2 and of 3"):
+        search(table(spark, [[1.0, 2.0], [1.0, 2.0, 3.0]]))
+
+
+def test_axes_come_from_all_rows(spark):
+    x = np.random.default_rng(5).standard_normal((300, 6))
+    axes, _ = axes_of(spark.createDataFrame([(r,) for r in x.tolist()], "v array<double>").repartition(3), 6)
+    want = np.linalg.svd(x.T @ x)[0]
+    assert np.allclose(np.abs((axes * want).sum(0)), 1)
+
+
+def test_forest_files_are_written_once(spark, monkeypatch):
+    planted = []
+    monkeypatch.setattr(lsh_forest, "_plant", lambda rows, by, folder, hashes, kind, plant=lsh_forest._plant: planted.append(kind) or plant(rows, by, folder, hashes, kind))
+    x = np.random.default_rng(6).standard_normal((500, 8))
+    assert nearest(table(spark, x.tolist()), shard_rows=100, query_rows=5).count() == 25 * 20
+    assert planted == ["queries", "shard"]
 
 
 def test_forest_small_tables(spark):
@@ -129,3 +193,29 @@ def test_reader_skips_what_only_looks_like_a_member():
     for split in (3, 50, 10**6):
         found = [o for s in range(0, len(data), split) for o, _ in records(io.BytesIO(data), s, min(s + split, len(data)))]
         assert found == [len(noise), len(noise) + len(gzip.compress(body))]
+
+
+def test_sql_of_the_searches_and_archives(spark, tmp_path):
+    import duckdb
+
+    table(spark, vectors(seed=8)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    pages = [(i, u, h) for i, u, h in PAGES if i not in (None, 6)] + [(6, "u6", "<p>same</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as db:
+        for name in ("embeddings", "pages"):
+            db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        want = {name: sorted(db.sql(ORACLE_SQL[name]).fetchall()) for name in ("op2_exact_topk", "op4_warc")}
+    assert sorted(map(tuple, top_products(spark.read.parquet(f"{tmp_path}/embeddings.parquet")).collect())) == want["op2_exact_topk"]
+    found = archived_pages(spark.read.parquet(f"{tmp_path}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted(map(tuple, found.collect())) == want["op4_warc"]
+
+
+def test_warc_record_longer_than_a_chunk(spark):
+    import random
+
+    rng = random.Random(2)
+    long = "".join(chr(rng.randint(32, 0x2FFF)) for _ in range(1_200_000))
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", "x"), (3, "u", long)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in archived_pages(pages, split_bytes=100_000).collect()}
+    assert rows[1].payload_bytes == len(long.encode()) > 3 << 20 and rows[1].payload_digest == digest_of(long.encode())
+    assert [rows[k].refers_to for k in (1, 2, 3)] == [3, None, None]
