@@ -195,7 +195,7 @@ def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 60, tol
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     t = lambda i: F.col("tokens")[i]
     goal, steps, found = np.array(targets, float), [], []
-    norm = max(float(np.abs(goal).sum()), 1e-300)
+    norm = max(float(np.linalg.norm(goal)), 1e-300)
     for _ in range(rounds + 1):
         rate = Fit(steps, [], []).rate(F.col("tokens"))
         rows = members.select("tokens", F.explode(F.array(rate)).alias("r"))
@@ -204,8 +204,8 @@ def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 60, tol
         if now[0] is None:
             return Fit([], [0.0] * k, [0.0] * k)
         totals, gram = np.array(now[:k], float), np.zeros((k, k))
-        found.append((float(np.abs(totals - goal).sum()), len(steps), totals))
-        best = min(found)
+        found.append((float(np.linalg.norm(totals - goal)), len(steps), totals))
+        best = min(found, key=lambda f: f[:2])
         if best[0] <= tolerance * norm or best[1] + 5 <= len(steps):
             break
         for (i, j), v in zip(pairs, now[k:], strict=True):

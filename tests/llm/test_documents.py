@@ -10,11 +10,12 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from scanloom.llm import jaccard, licenses, mixing, toxicity  # noqa: E402
+from scanloom.llm import jaccard, licenses, mixing, packing, token_counts as counting, toxicity  # noqa: E402
 from scanloom.llm.encode import encoder  # noqa: E402
 from scanloom.llm.license_texts import FILES, TEXTS  # noqa: E402
-from scanloom.llm.packing import SumOfSquares, pack_documents  # noqa: E402
+from scanloom.llm.packing import SumOfSquares, filled, pack_documents  # noqa: E402
 from scanloom.llm.set_join import Groups, SetJoin  # noqa: E402
+from scanloom.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
 from scanloom.llm.shingles import batch_sets  # noqa: E402
 from scanloom.llm.sstable import lookup, read_token_tables, token_tables, write_token_tables  # noqa: E402
 from scanloom.llm.token_counts import token_counts  # noqa: E402
@@ -302,3 +303,269 @@ def test_licenses(spark):
     assert got[3].notice_ids == ["CC-BY-NC-4.0", "MIT"] and got[5].notice_ids == []
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
     assert licenses.scan_licenses(frame(spark, [mit, mit], [None, None])).where("license_id = 'MIT'").count() == 2
+
+
+def long_text(seed, words=60_000):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["it's", "Straße", "x²", "", "日本", "\n", f"w{rng.randint(0, 10**6)}"]) for _ in range(words))
+
+
+def test_token_counts_of_long_texts_and_several_blocks(spark, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(counting, "BLOCK_CHARS", 100_000)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [*ODD, long_text(1, 300_000), *[f"common words {k} in every block " * 900 for k in range(20)]]
+    assert len(texts[len(ODD)]) > 1 << 20
+    got = {r.doc_id: r.n_tokens for r in token_counts(frame(spark, texts).coalesce(1), path).collect()}
+    assert got == {i: len(model.encode(t or "")) for i, t in enumerate(texts)}
+
+
+def test_packing_and_tables_of_long_texts(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e = encoder(path)
+    text = long_text(2)
+    want = np.asarray(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    rows = sorted(pack_documents(frame(spark, [text, "b"]), path).where("doc_id = 0").collect(), key=lambda r: r.start)
+    ids = want + b"\2\0\0\0"
+    assert sum(r.length for r in rows) == len(ids) // 4 and all(zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 for r in rows)
+    (row,) = token_tables(frame(spark, [text]), path).collect()
+    assert (row.n_tokens, row.ids_crc32) == (len(want) // 4 + 1, zlib.crc32(want + b"\1\0\0\0"))
+
+
+def test_a_repeated_id_fills_several_shards(spark, tmp_path, monkeypatch):
+    from scanloom.llm import sstable
+
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 2_000)
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/tables"
+    rng = random.Random(3)
+    texts = [f"{rng.random()} text" for _ in range(600)]
+    manifest = write_token_tables(frame(spark, texts, [7] * 400 + list(range(100, 300))), folder, path, end_id=1)
+    assert sum(m["first"] == m["last"] == 7 for m in manifest) > 1 and max(m["entries"] for m in manifest) < 200
+    rows = sorted(read_token_tables(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted([7] * 400 + list(range(100, 300)))
+    assert sorted(lookup(folder, [7, 8, 150, 299, 300])) == [7, 150, 299]
+
+
+def test_packed_windows_keep_what_the_method_placed():
+    rng = random.Random(5)
+    p, total, full = SumOfSquares(512), 0, []
+    for k in range(4000):
+        n = min(511, max(1, int(rng.lognormvariate(4.5, 1))))
+        total += n
+        full += filter(None, [p.place((k, 0, b"\0" * 4 * n, n))])
+    before = p.rest()
+    after = filled([list(w) for w in before], 512)
+    size = lambda w: sum(x[-1] for x in w)
+    assert sum(map(size, after)) == sum(map(size, before)) and all(size(w) & (size(w) - 1) == 0 and size(w) <= 512 for w in after)
+    kept = sorted(map(size, before), reverse=True)[: sum(size(w) == 512 for w in after)]
+    assert sum(map(size, full)) + sum(kept) >= 0.95 * total
+
+
+def test_packing_in_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN_TOKENS", 500)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["some words to pack " * (k % 40 + 1) for k in range(200)]
+    rows = pack_documents(frame(spark, texts), path, size=64).collect()
+    assert Counter(r.doc_id for r in rows if r.start == 0) == Counter(range(200))
+    lengths = defaultdict(int)
+    for r in rows:
+        lengths[r.sequence_id] += r.length
+    assert all(n & (n - 1) == 0 and n <= 64 for n in lengths.values())
+
+
+def test_words_with_equal_polynomial_hashes_differ(spark):
+    word = "a"
+    for _ in range(10):  # the Thue-Morse word and its complement meet under any polynomial modulo 2**64
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = jaccard.jaccard_components(frame(spark, [f"{word} one two three four", f"{other} one two three four"])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(0, 0), (1, 1)]
+
+
+def test_jaccard_of_a_shingle_that_all_documents_hold(spark, monkeypatch):
+    rng = random.Random(8)
+    common = "these words stand at the head of every one of the documents here"
+    texts = [f"{common} {' '.join(f'u{rng.randint(0, 10**9)}' for _ in range(rng.randint(0, 12)))}" for _ in range(150)]
+    texts += [f"{t} x" for t in texts[:30]] + ["é É " + " ".join(f"Ä{k}" for k in range(60)), "é É " + " ".join(f"ä{k}" for k in range(60))]
+    sizes, roots = brute_components(texts)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 300)
+    got = {r.doc_id: r for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == list(zip(sizes, roots, strict=True))
+
+
+SETS = "id long, n long, own long, shared binary, prefix array<long>"
+
+
+def as_set(i, n, own, elements, prefix):
+    return (i, n, own, np.sort(np.array(elements, np.uint64)).tobytes(), prefix)
+
+
+def test_boilerplate_that_cannot_link_makes_no_candidates(spark):
+    """10,000 sets of 100 that share 80 elements: not enough to link, and their places in the prefix tell so."""
+    boilerplate = list(range(1, 81))
+    rows = spark.range(10_000).selectExpr("id", "100L AS n", "20L AS own", "X'00' AS shared", f"array({', '.join(f'{w}L' for w in boilerplate[:6])}) AS prefix")
+    assert jaccard._candidate_edges(rows, 75, 100).count() == 0
+
+
+def test_sets_of_a_chain_meet_their_neighbours_only(spark, monkeypatch):
+    """One candidate cluster of 400 sets without a link: a set goes to the blocks of its candidates, not to all 100."""
+    rng, met = random.Random(1), []
+    rows = []
+    for i in range(400):
+        popular = rng.sample(range(10_000, 11_000), 6)
+        rows.append(as_set(i, 8, 0, [i + 1, i + 2, *popular], [i + 1, i + 2, min(popular)]))
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "_meetings", lambda *a, real=jaccard._meetings: met.append(real(*a)) or met[-1])
+    assert jaccard._links(spark.createDataFrame(rows, SETS), 75, 100).count() == 0
+    columns, rows_of = met[0]
+    assert 400 <= columns.count() < 4 * 400 and 400 <= rows_of.count() < 4 * 400
+
+
+def brute_toxicity(texts, toxic, asked):
+    """The whole fit and score in plain Python, with segments by their definition."""
+    import math
+
+    words = [toxicity.words_of(t) for t in texts]
+    held = [Counter(w for ws, y in zip(words, toxic, strict=True) if y == c for w in set(ws)) for c in (0, 1)]
+    n0, n1 = sum(held[0].values()), sum(held[1].values())
+    weight, scores, clean = 0.2 * (n0 + n1), {}, {}
+    for w in sorted(set(held[0]) | set(held[1])):
+        prior = weight * (held[0][w] + held[1][w]) / (n0 + n1)
+        y0, y1 = held[0][w] + prior, held[1][w] + prior
+        odds = math.log(y1 / (n1 + weight - y1)) - math.log(y0 / (n0 + weight - y0))
+        if abs(odds) / math.sqrt(1 / y1 + 1 / y0) >= 4:
+            scores[w], clean[w] = odds, held[0][w]
+    chance = [(clean[w] + 0.5) / (n0 + 0.5 * len(scores)) for w in scores]
+    terms = [*zip(scores.values(), chance, strict=True), (-0.05, max(0.0, 1 - sum(chance)))]
+    low, high = 1e-9, 64.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(p * math.exp(mid * s) for s, p in terms) < 1 else (low, mid)
+    decay = high
+
+    def best(ws):
+        return sorted((decay * s for *_, s in brute_segments([scores.get(w, -0.05) for w in ws])), reverse=True)
+
+    tops = [best(ws)[0] - math.log(len(ws)) for ws, y in zip(words, toxic, strict=True) if not y and best(ws)]
+    log_k = sum(tops) / len(tops) - 0.5772156649 if tops else -0.5772156649
+
+    def x_of(ws):
+        total, most = 0.0, -math.inf
+        for r, v in enumerate([s - log_k - math.log(len(ws)) for s in best(ws)], 1):
+            if v <= 0 and r > 1:
+                break
+            total += v
+            chance = math.factorial(r) * math.factorial(r - 1)
+            most = max(most, -math.log(math.exp(-total) * total ** (r - 1) / chance) if total > 1 else total)
+        return math.asinh(max(most, -20.0))
+
+    xs = [x_of(ws) for ws in words]
+    k = sum(toxic)
+    goal = [(k + 1) / (k + 2) if y else 1 / (len(toxic) - k + 2) for y in toxic]
+    a = b = 0.0
+    for _ in range(20_000):  # plain Newton steps with halving
+        p = [1 / (1 + math.exp(-(a * x + b))) for x in xs]
+        ga, gb = sum((g - q) * x for g, q, x in zip(goal, p, xs, strict=True)) - 1e-6 * a, sum(g - q for g, q in zip(goal, p, strict=True)) - 1e-6 * b
+        h = [q * (1 - q) for q in p]
+        haa, hab, hbb = sum(v * x * x for v, x in zip(h, xs, strict=True)) + 1e-6, sum(v * x for v, x in zip(h, xs, strict=True)), sum(h) + 1e-6
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        scale = min(1.0, 1 / max(abs(da), abs(db), 1e-12))
+        a, b = a + scale * da, b + scale * db
+        if max(abs(da), abs(db)) < 1e-12:
+            break
+    return [1 / (1 + math.exp(-max(-30.0, min(30.0, a * x_of(toxicity.words_of(t)) + b)))) for t in asked]
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(14)
+    long = "q" * 65  # longer than a word has to be
+    texts, toxic = [], []
+    for k in range(240):
+        w = rng.choices([f"calm{j}" for j in range(60)], k=rng.randint(4, 30))
+        if k % 4 == 0:
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(w))
+                w[at:at] = rng.choices(["vile", "nasty", long], k=2)
+        elif k % 9 == 0:
+            w.append("vile")
+        texts.append(" ".join(w))
+        toxic.append(int(k % 4 == 0))
+    fitted = [k for k in range(240) if zlib.crc32(str(k).encode()) % 5]
+    asked = [f"{long} calm1 calm2 {long}", "nasty calm3 vile", "calm5 calm6", *texts[:40]]
+    want = brute_toxicity([texts[k] for k in fitted], [toxic[k] for k in fitted], asked)
+    docs = spark.createDataFrame([(k, t, 0.5, 1) for k, t in enumerate(texts)], "doc_id long, text string, score double, toxic int")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert long in model.scores
+    more = spark.createDataFrame([(k, t) for k, t in enumerate([*asked, asked[0]])], "doc_id long, text string")
+    got = [r.score for r in sorted(toxicity.score(more, model).collect(), key=lambda r: r.doc_id)]
+    assert np.allclose(got, [*want, want[0]], atol=1e-6)
+    assert toxicity.toxicity(docs.unionByName(docs), labels).count() == 480
+
+
+def test_toxicity_scores_more_words_than_were_once_kept(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 20001), k -> concat(IF(id % 2 = 0, 'calm', 'vile'), k)), ' ') AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS toxic")
+    assert len(toxicity.fit(docs, labels, train_rows=60).scores) == 40_002
+
+
+def test_mixing_without_labels_and_of_odd_rows(spark):
+    docs = frame(spark, ["a b c", None, "", "d e " * 60_000, "a b c"], [1, None, 2, 3, 1])
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    other = spark.createDataFrame([(77, "x")], "doc_id long, domain string")
+    for labelled in (none, other):
+        rows = mixing.mix(docs, labelled, {"x": 1.0}).collect()
+        assert sorted((r.n_tokens, r.rate, len(r.domains), r.misfit) for r in rows) == [(0, 1.0, 0, 0.0), (0, 1.0, 0, 0.0), (3, 1.0, 0, 0.0), (3, 1.0, 0, 0.0), (120_000, 1.0, 0, 0.0)]
+    labelled = spark.createDataFrame([(1, "x"), (3, "y"), (1, "x")], "doc_id long, domain string")
+    assert mixing.mix(docs.limit(0), labelled, {"x": 1.0}).count() == 0
+    rows = mixing.mix(docs, labelled, {"x": 0.5, "y": 0.5}).collect()
+    assert len(rows) == 5 and all(r.rate >= 0 for r in rows)
+
+
+def test_mixing_says_that_targets_cannot_be_met(spark):
+    members = spark.createDataFrame([([1.0, 1.0],), ([2.0, 2.0],)], "tokens array<double>")
+    with pytest.raises(ValueError, match="miss the targets"):
+        mixing.fit_rates(members, [1.0, 9.0], accept=0.01)
+    with pytest.warns(UserWarning, match="miss the targets"):
+        fit = mixing.fit_rates(members, [1.0, 9.0])
+    assert fit.totals == pytest.approx([5.0, 5.0]) and fit.misfit == pytest.approx(0.8)
+
+
+def test_classifier_on_held_out_documents(spark):
+    rng = random.Random(12)
+    kinds = {"a": ["wüßte", "über", "für", "hätte"], "b": ["what", "who", "how"], "c": ["WHAT!!", "WHO!!"]}
+    rows = [(k, " ".join(rng.choices(kinds[d], k=rng.randint(2, 40))), d) for k, d in enumerate(rng.choices("abc", k=400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    c = mixing.fit_classifier(docs, docs.select("doc_id", "domain").where("doc_id < 300"))
+    assert c.domains == ["a", "b", "c"] and c.accuracy > 0.95 and c.loss < 0.2
+    found = mixing.memberships(docs.where("doc_id >= 300"), c, keep=["domain"]).collect()
+    assert np.mean([c.domains[int(np.argmax(r.tokens))] == r.domain for r in found]) > 0.95
+    assert all(sum(r.tokens) == pytest.approx(r.n_tokens) for r in found)
+
+
+def test_sql_of_licenses_on_planted_files(spark, tmp_path):
+    import duckdb
+
+    rng, texts = random.Random(15), dict(TEXTS)
+    filler = lambda n: " ".join(f"word{rng.randint(0, 999)}" for _ in range(n))
+    # DuckDB lowers letter by letter, Spark also where one letter becomes two or depends on its place.
+    docs = [*[t for t in ODD if "İ" not in (t or "")], *texts.values(), *[t.upper().replace("\n", "\n\n") for t in texts.values()], *[f"Copyright (c) {k} X\n{t}" for k, t in enumerate(texts.values())]]
+    docs += [f"{filler(50)}\nReleased under the MIT license!\n{filler(20)}\n  licensed under CC BY-SA 4.0", long_text(4), f"{texts['MIT']} and more", "a\rb © c\r\nCopyright (c) 1 x"]
+    for f in os.listdir(FILES):
+        docs.append(open(os.path.join(FILES, f), encoding="utf-8").read())
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = sorted(db.sql(ORACLE_SQL["op8_licenses"]).fetchall())
+    got = QUERIES["op8_licenses"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("doc_id", "digest", "license_id", "notice_ids").collect())) == want
+    assert sum(r[2] is not None for r in want) >= 3 * len(texts) and "CC-BY-SA-4.0,MIT" in [r[3] for r in want]
+
+
+def test_licenses_join_a_table_of_any_size(spark):
+    known = spark.range(20_000).selectExpr("concat('L', id) AS license_id", "concat('licence text number ', id) AS text")
+    got = licenses.scan_licenses(frame(spark, ["Licence  text, number 19999", "else"]), licenses.digests(known)).collect()
+    assert {r.doc_id: r.license_id for r in got} == {0: "L19999", 1: None}
