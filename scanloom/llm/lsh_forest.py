@@ -144,6 +144,8 @@ def tuned(vectors: np.ndarray, hashes: Hashes, k: int, target: float) -> tuple[f
     for share in SHARES:
         low, high = forest.ranges(asked, max(4 * k, int(np.ceil(share * n * hashes.trees))))
         seen = (high - low).sum() / m / n
+        if seen / 30 > best[0]:
+            break  # from here on the ranges alone cost more
         found, scored = np.zeros(hashes.trees + 2), np.zeros(hashes.trees + 2)
         for t, a, b in zip(truth, low, high, strict=True):
             v = forest.votes(a, b)

@@ -189,8 +189,8 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     Null and empty texts count 0 tokens and 0 bytes. A null id and repeated rows stay, one result row each. An
     empty table gives an empty result. Other columns are not read. A text of any length is split in steps.
     """
-    parts = parts_for(docs.sparkSession, text_bytes(docs, text_col), PART_BYTES)
+    parts = 4 * parts_for(docs.sparkSession, text_bytes(docs, text_col), 4 * PART_BYTES)
     mapped = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_mapper(parts, BLOCK_CHARS, BLOCK_DOCS), _ROW)
-    answered = mapped.repartition(parts, "part").mapInArrow(_counter(model_path), _ROW)
+    answered = mapped.repartitionById(parts, F.col("part")).mapInArrow(_counter(model_path), _ROW)
     sums = answered.groupBy("block").applyInArrow(_summed, "id long, n_bytes long, n_tokens long")
     return sums.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
