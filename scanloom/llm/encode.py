@@ -8,7 +8,7 @@ import struct
 
 import numpy as np
 
-from .shared import LONGEST_REMEMBERED, WORKER_CACHES, Remembered
+from .shared import LONGEST_REMEMBERED, WORKER_CACHES, Remembered, make_room
 
 _SEPARATORS = "\x1c", "\x1d", "\x1e", "\x1f"
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
@@ -17,8 +17,9 @@ _LATIN = re.compile("[!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u01
 #: The file's own splitting pattern on such words; must equal what `_splits_at_white_space` checks.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
-_workers: dict[str, "WordEncoder"] = {}
-WORKER_CACHES.append(_workers)
+#: Per worker: the encoder of each file.
+_encoders: dict[str, "WordEncoder"] = {}
+WORKER_CACHES.append(_encoders)
 
 
 def _byte_letters() -> list[str]:
@@ -90,6 +91,12 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _workers:
-        _workers[path] = WordEncoder(path)
-    return _workers[path]
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
+def only_encoder(path: str) -> WordEncoder:
+    """The encoder, in a worker that has given back what other operators left."""
+    make_room(keep=_encoders)
+    return encoder(path)

@@ -107,6 +107,7 @@ def _counter(detail: bool):
     """
 
     def run(table):
+        make_room()
         pa, schema = _arrow()
         rows = table.to_pylist()
         full = [r for r in rows if r["heads"] is None]

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import encoder
+from .encode import only_encoder
 
 #: Tokens of a run, about: a task packs its documents run by run, and holds the ids of a run's open windows.
 RUN_TOKENS = 32 << 20
@@ -109,7 +109,7 @@ def _packer(tokenizer_path: str, end_id: int, size: int, run: int):
 
         names = "doc", "start", "length", "crc", "doc_tokens", "sequence", "offset"
         schema = pa.schema([(n, pa.int64()) for n in names])
-        encode, packer = encoder(tokenizer_path), SumOfSquares(size)
+        encode, packer = only_encoder(tokenizer_path), SumOfSquares(size)
         sequence, rows, run_tokens = TaskContext.get().partitionId() << 40, [], 0
 
         def emit(windows):

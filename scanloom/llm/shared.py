@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import struct
 import tempfile
@@ -81,14 +82,20 @@ def publish(uri: str, name: str, write) -> str:
 WORKER_CACHES: list[dict] = []
 
 
-def make_room() -> None:
-    """Empty the tables that other operators have left in this Python worker, before a task that needs memory."""
+def make_room(keep: dict | None = None) -> None:
+    """Give back what other operators have left in this Python worker, before a task that needs memory.
+
+    Their tables go, but for `keep`, and so does memory that is free but still held by the process.
+    """
     for table in WORKER_CACHES:
-        table.clear()
+        if table is not keep:
+            table.clear()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Entries a Remembered holds, in two generations of half as many; keys beyond that length are not kept.
-REMEMBERED, LONGEST_REMEMBERED = 800_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 48
 
 
 class Remembered(dict):

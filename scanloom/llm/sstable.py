@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encode import encoder
+from .encode import only_encoder
 from .shared import filesystem, fresh_dir, parts_for, publish, text_bytes
 
 MAGIC = b"SLSSTv01"
@@ -185,7 +185,7 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
+        encode, shard = only_encoder(tokenizer_path), TaskContext.get().partitionId()
         rows = ((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         head = next(rows, None)
         if head is None:

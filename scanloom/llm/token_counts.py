@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import least_unsigned, pack, parts_for, text_bytes, unpack
+from .shared import least_unsigned, make_room, pack, parts_for, text_bytes, unpack
 
 #: A block is closed at so many characters or documents.
 BLOCK_CHARS, BLOCK_DOCS = 16 << 20, 50_000
@@ -89,6 +89,7 @@ def _mapper(parts: int, block_chars: int, block_docs: int):
     def run(batches):
         from pyspark import TaskContext
 
+        make_room()
         pa, schema = _arrow()
         first = TaskContext.get().partitionId() << 32
         rows, numbers, chars, blocks = [], _Numbers(), 0, 0
