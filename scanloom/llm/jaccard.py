@@ -260,13 +260,11 @@ def _meetings(few: DataFrame, all_sets: DataFrame, of_few: str, of_all: str) ->
     """
     out = []
     for one, other, place in ((few, all_sets, of_all), (all_sets, few, of_few)):
-        below = other.where("first").groupBy("cluster", "w", "band", place).agg(F.min("n").alias("low"))
-        below = below.select("cluster", "w", F.explode(F.array("band", F.col("band") + 1)).alias("band"), place, "low")
-        above = other.groupBy("cluster", "w", "band", place).agg(F.max("most").alias("top"))
-        above = above.select("cluster", "w", F.explode(F.array("band", F.col("band") - 1)).alias("band"), place, "top")
-        larger = one.drop(place).join(below, ["cluster", "w", "band"]).where("most >= low").select("cluster", "id", place)
-        smaller = one.drop(place).where("first").join(above, ["cluster", "w", "band"]).where("top >= n").select("cluster", "id", place)
-        out.append(larger.unionByName(smaller).distinct())
+        # The smaller of two sets that link is a `first` entry, in the larger's band or the one below.
+        lists = other.groupBy("cluster", "w", "band", place).agg(F.min(F.when(F.col("first"), F.col("n"))).alias("low"), F.max("most").alias("top"))
+        lists = lists.select("cluster", "w", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("at"), "band", place, "low", "top")
+        found = one.withColumnRenamed("band", "at").join(lists, ["cluster", "w", "at"])
+        out.append(found.where("(at >= band and most >= low) or (first and at <= band and top >= n)").select("cluster", "id", place).distinct())
     return out[0], out[1]
 
 
@@ -300,7 +298,8 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     row, column = F.pmod(F.xxhash64("id", F.lit(-1)), F.col("few")), F.pmod(F.xxhash64("id", F.lit(-2)), F.col("blocks"))
     rest = written(_spread_join(rest, main, "cluster").withColumn("row", row).withColumn("column", column), "dealt-clusters")
     few = rest.where("component <> main")
-    columns_of, rows_of = _meetings(_postings(few, num, den, "cluster", "row"), _postings(rest, num, den, "cluster", "column"), "row", "column")
+    postings = written(_postings(rest, num, den, "cluster", "row", "column", "component", "main"), "postings")
+    columns_of, rows_of = _meetings(postings.where("component <> main").drop("column"), postings.drop("row"), "row", "column")
     keep = "cluster", "row", "column", "id", "n", "shared", "component"
     left = few.drop("column").join(columns_of, ["cluster", "id"]).select(*keep)
     # Both sides come from one table: new names (aliases) tell their columns apart.

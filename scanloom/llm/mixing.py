@@ -15,10 +15,10 @@ from .shared import written
 #: Labelled documents that the classifier is fitted on at most: those of least hash of their id.
 TRAIN_ROWS = 20_000
 #: Characters of a word's ends that are hashed, and buckets for its front and for its back.
-GRAM, BUCKETS = 3, 1024
+GRAM, BUCKETS = 3, 512
 #: Of so many labelled documents one is kept from the fit, to temper the posteriors and to tell their accuracy.
 HELD_OUT = 5
-_TEMPERATURES = [2.0 ** (e / 2) for e in range(-4, 17)]
+_TEMPERATURES = [2.0**e for e in range(-2, 9)]
 
 
 def _let(value: Column, use) -> Column:
@@ -115,7 +115,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_i
     held_of = np.ones((2 * BUCKETS, len(domains)))
     for r in counts:
         held_of[r.b, domains.index(r.domain)] += r["count"]
-    raw = Classifier(domains, (np.log(held_of) - np.log(held_of.sum(0))).tolist(), [])
+    # Three decimals do, and keep the plans that hold these numbers small.
+    raw = Classifier(domains, np.round(np.log(held_of) - np.log(held_of.sum(0)), 3).tolist(), [])
     d = len(domains) + 3
     # Computed once, before the many sums.
     x = fitted.select("domain", F.explode(F.array(_let(words, lambda w: raw.features(F.col("text"), w)))).alias("x"))
