@@ -27,10 +27,8 @@ from ..operators import walls as W
 from ..sources.fixtures import fixture, with_fixtures
 from .config import Config
 
-#: Pixel and band of the fixture scan; the coarse one keeps the SQL of components small. Queries named _fine do the same work,
-#: without SQL, on the raster of all others.
+#: Pixel and band of the fixture scan.
 CFG = Config(pixel_m=0.1, min_points_per_cell=1, ceiling_mode="global", slab_lo_m=0.125, slab_hi_m=0.5, min_wall_area_px=60, min_wall_points=30, offset_tol_m=0.2, sam_min_mask_region_area=60)
-COARSE = 0.5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,10 +57,10 @@ def _slab(spark, d):
     return P.crop_slab(_points(spark, d), CFG)
 
 
-def _walls(spark, d, pixel: float = 0.1):
+def _walls(spark, d):
     """(wall cells, transform) of the slab."""
     slab = _slab(spark, d)
-    grid = R.grid_of(slab, pixel)
+    grid = R.grid_of(slab, CFG.pixel_m)
     return R.occupancy(slab, grid).select("scan_id", "row", "col"), grid
 
 
@@ -115,20 +113,17 @@ _PART = {
     "fc": "fc AS (SELECT min(a + (bin + 0.5::DOUBLE) * ((b - a) / 256)) AS floor_h, max(a + (bin + 0.5::DOUBLE) * ((b - a) / 256)) AS ceiling_h FROM h, e WHERE n >= 0.02 * (SELECT max(n) FROM h))",
     "slab": "slab AS (SELECT p.* FROM fx_points p, fc WHERE z BETWEEN ceiling_h - 0.5::DOUBLE AND ceiling_h - 0.125::DOUBLE)",
     "tr": "tr AS (SELECT min(x) AS a_min, min(y) AS b_min, CAST(trunc((max(x) - min(x)) / 0.1::DOUBLE) AS BIGINT) + 1 AS width, CAST(trunc((max(y) - min(y)) / 0.1::DOUBLE) AS BIGINT) + 1 AS height FROM slab)",
-    "tc": "tc AS (SELECT min(x) AS a_min, min(y) AS b_min, CAST(trunc((max(x) - min(x)) / 0.5::DOUBLE) AS BIGINT) + 1 AS width, CAST(trunc((max(y) - min(y)) / 0.5::DOUBLE) AS BIGINT) + 1 AS height FROM slab)",
     "px": "px AS (SELECT p.*, CAST(trunc((x - a_min) / 0.1::DOUBLE) AS BIGINT) AS col, height - 1 - CAST(trunc((y - b_min) / 0.1::DOUBLE) AS BIGINT) AS row, width, height FROM fx_points p, tr)",
     "inb": "inb AS (SELECT * FROM px WHERE col BETWEEN 0 AND width - 1 AND row BETWEEN 0 AND height - 1)",
     "wc": "wc AS (SELECT height - 1 - CAST(trunc((y - b_min) / 0.1::DOUBLE) AS BIGINT) AS row, CAST(trunc((x - a_min) / 0.1::DOUBLE) AS BIGINT) AS col, count(*) AS n FROM slab, tr GROUP BY 1, 2)",
-    "cc": "cc AS (SELECT DISTINCT height - 1 - CAST(trunc((y - b_min) / 0.5::DOUBLE) AS BIGINT) AS row, CAST(trunc((x - a_min) / 0.5::DOUBLE) AS BIGINT) AS col FROM slab, tc)",
     "free": "free AS (SELECT r.v AS row, c.v AS col FROM tr, unnest(range(height)) r(v), unnest(range(width)) c(v) WHERE NOT EXISTS (SELECT 1 FROM wc WHERE wc.row = r.v AND wc.col = c.v))",
-    "freec": "freec AS (SELECT r.v AS row, c.v AS col FROM tc, unnest(range(height)) r(v), unnest(range(width)) c(v) WHERE NOT EXISTS (SELECT 1 FROM cc WHERE cc.row = r.v AND cc.col = c.v))",
     "lg": "lg AS (SELECT max(col) + 1 AS width, max(row) + 1 AS height FROM fx_labels)",
     "ov": "ov AS (SELECT p.pred, p.gt, p.n, a.n AS pa, b.n AS ga, CAST(p.n AS DOUBLE) / (a.n + b.n - p.n) AS iou, CAST(p.n AS DOUBLE) / a.n AS p, CAST(p.n AS DOUBLE) / b.n AS g FROM (SELECT pred, gt, count(*) AS n FROM fx_labels WHERE pred >= 1 AND gt >= 1 GROUP BY 1, 2) p JOIN (SELECT pred, count(*) AS n FROM fx_labels GROUP BY 1) a USING (pred) JOIN (SELECT gt, count(*) AS n FROM fx_labels GROUP BY 1) b USING (gt))",
     "best": "best AS (SELECT gt, pred, iou FROM (SELECT *, row_number() OVER (PARTITION BY gt ORDER BY iou DESC, pred) AS r FROM ov) t WHERE r = 1)",
     "th": "th AS (SELECT CASE WHEN surf <= 3 THEN 1.5707963267948966::DOUBLE ELSE 0.0::DOUBLE END + (CAST(floor(z * 1000) AS BIGINT) % 7) * 0.01::DOUBLE AS theta, x, y, z, surf FROM fx_points WHERE surf >= 2)",
     "mc": "mc AS (SELECT mask_id, score, r.v AS row, c.v AS col FROM fx_masks, unnest(range(r0, r0 + h)) r(v), unnest(range(c0, c0 + w)) c(v))",
 }
-_NEEDS = {"h": ["e"], "fc": ["e", "h"], "slab": ["e", "h", "fc"], "tr": ["slab"], "tc": ["slab"], "px": ["tr"], "inb": ["px"], "wc": ["tr"], "cc": ["tc"], "free": ["wc"], "freec": ["cc"], "best": ["ov"]}
+_NEEDS = {"h": ["e"], "fc": ["e", "h"], "slab": ["e", "h", "fc"], "tr": ["slab"], "px": ["tr"], "inb": ["px"], "wc": ["tr"], "free": ["wc"], "best": ["ov"]}
 
 
 def _expand(sql: str) -> str:
@@ -276,22 +271,15 @@ def ingrid_fraction(spark, d):
     return R.check_in_grid(_points(spark, d), _walls(spark, d)[1]).select(F.round("frac", 9).alias("frac"))
 
 
-_REACH = """reach(row, col, r0, c0) AS (SELECT row, col, row, col FROM {0} UNION SELECT n.row, n.col, r.r0, r.c0 FROM reach r JOIN {0} n ON {1}),
-  comp AS (SELECT row, col, min(r0 * 100000 + c0) AS root FROM reach GROUP BY 1, 2)"""
-_N4, _N8 = "abs(n.row - r.row) + abs(n.col - r.col) = 1", "abs(n.row - r.row) <= 1 AND abs(n.col - r.col) <= 1 AND NOT (n.row = r.row AND n.col = r.col)"
-_OUTSIDE = "air AS (SELECT DISTINCT root FROM comp, tc WHERE row = 0 OR col = 0 OR row = height - 1 OR col = width - 1)"
+#: Components: every cell takes its neighbours' least root until none changes; keyed recursion keeps one row per cell.
+_REACH = """comp(row, col, root) USING KEY (row, col) AS (SELECT row, col, row * 1000000 + col FROM (SELECT DISTINCT row, col FROM {0}) t
+  UNION SELECT n.row, n.col, min(r.root) FROM comp r CROSS JOIN {1} s(dr, dc) JOIN recurring.comp n ON n.row = r.row + s.dr AND n.col = r.col + s.dc WHERE r.root < n.root GROUP BY n.row, n.col)"""
+_N4, _N8 = "(VALUES (0, 1), (0, -1), (1, 0), (-1, 0))", "(VALUES (0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1))"
+_OUTSIDE = "air AS (SELECT DISTINCT root FROM comp, tr WHERE row = 0 OR col = 0 OR row = height - 1 OR col = width - 1)"
 
 
-@query("[freec] WITH RECURSIVE " + _REACH.format("freec", _N4) + ", " + _OUTSIDE + ", inn AS (SELECT row, col FROM comp WHERE root NOT IN (SELECT root FROM air)) SELECT count(*) AS interior_cells, round(coalesce(avg(CASE WHEN row % 2 = 0 THEN 1.0 ELSE 0.0 END), 0), 9) AS frac FROM inn")
+@query("[free] WITH RECURSIVE " + _REACH.format("free", _N4) + ", " + _OUTSIDE + ", inn AS (SELECT row, col FROM comp WHERE root NOT IN (SELECT root FROM air)) SELECT count(*) AS interior_cells, round(coalesce(avg(CASE WHEN row % 2 = 0 THEN 1.0 ELSE 0.0 END), 0), 9) AS frac FROM inn")
 def interior_coverage(spark, d):
-    cells, grid = _walls(spark, d, COARSE)
-    inner = G.interior(cells, grid)
-    share = R.covered_share(inner, inner.where("row % 2 = 0"))
-    return inner.agg(F.count("*").alias("interior_cells")).crossJoin(F.broadcast(share.agg(F.round(F.coalesce(F.max("frac"), F.lit(0.0)), 9).alias("frac"))))
-
-
-@query()
-def interior_coverage_fine(spark, d):
     cells, grid = _walls(spark, d)
     inner = G.interior(cells, grid)
     share = R.covered_share(inner, inner.where("row % 2 = 0"))
@@ -339,40 +327,26 @@ def wall_thickness(spark, d):
 # ---- regions --------------------------------------------------------------------------------------------------------
 
 
-@query("[cc] WITH RECURSIVE " + _REACH.format("cc", _N8) + " SELECT 0 AS scan_id, row, col, dense_rank() OVER (ORDER BY root) AS label FROM comp")
+@query("[wc] WITH RECURSIVE " + _REACH.format("wc", _N8) + " SELECT 0 AS scan_id, row, col, dense_rank() OVER (ORDER BY root) AS label FROM comp")
 def components(spark, d):
-    return G.components(_walls(spark, d, COARSE)[0])
+    return G.components(_walls(spark, d)[0])
 
 
-@query("[cc] WITH RECURSIVE " + _REACH.format("cc", _N4) + " SELECT 0 AS scan_id, row, col FROM (SELECT *, count(*) OVER (PARTITION BY root) AS n FROM comp) t WHERE n >= 10")
+@query("[wc] WITH RECURSIVE " + _REACH.format("wc", _N8) + f" SELECT 0 AS scan_id, row, col FROM (SELECT *, count(*) OVER (PARTITION BY root) AS n FROM comp) t WHERE n >= {CFG.min_wall_area_px}")
 def clean_walls(spark, d):
-    cells = G.components(_walls(spark, d, COARSE)[0], eight=False)
-    large = cells.groupBy("scan_id", "label").count().where("count >= 10")
-    return cells.join(large, ["scan_id", "label"], "left_semi").select("scan_id", "row", "col")
+    return G.clean_walls(_walls(spark, d)[0], CFG.min_wall_area_px)
 
 
-@query("[freec cc] WITH RECURSIVE " + _REACH.format("freec", _N4) + ", " + _OUTSIDE + " SELECT 0 AS scan_id, row, col FROM comp WHERE root NOT IN (SELECT root FROM air) UNION SELECT 0, row, col FROM cc")
+@query("[free wc] WITH RECURSIVE " + _REACH.format("free", _N4) + ", " + _OUTSIDE + " SELECT 0 AS scan_id, row, col FROM comp WHERE root NOT IN (SELECT root FROM air) UNION SELECT 0, row, col FROM wc")
 def fill_holes(spark, d):
-    cells, grid = _walls(spark, d, COARSE)
+    cells, grid = _walls(spark, d)
     return G.filled(cells, grid)
 
 
-@query()
-def components_fine(spark, d):
-    return G.components(_walls(spark, d)[0])
+_WIDE = "o AS (SELECT DISTINCT row, col FROM (" + _hit("wc", S.disc(5)) + ") t), bare AS (SELECT r.v AS row, c.v AS col FROM tr, unnest(range(height)) r(v), unnest(range(width)) c(v) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.row = r.v AND o.col = c.v))"
 
 
-@query()
-def clean_walls_fine(spark, d):
-    return G.clean_walls(_walls(spark, d)[0], CFG.min_wall_area_px)
-
-
-@query()
-def fill_holes_fine(spark, d):
-    return G.filled(*_walls(spark, d))
-
-
-@query()
+@query("[wc] WITH RECURSIVE " + _WIDE + ", " + _REACH.format("bare", _N4) + ", " + _OUTSIDE + ", whole AS (SELECT row, col FROM comp WHERE root NOT IN (SELECT root FROM air) UNION SELECT row, col FROM o) SELECT 0 AS scan_id, row, col FROM (" + _eroded("whole", S.disc(5)) + ") z")
 def footprint(spark, d):
     cells, grid = _walls(spark, d)
     return G.footprint(cells, grid, 5)
@@ -594,16 +568,9 @@ def flatten_wall(spark, d):
     return W.flattened(_flat_segments(spark, d), Config(flat_pixel_m=0.1), clean=False).select("wall_id", "row", "col")
 
 
-@query("""WITH s AS (SELECT x, y, z, row_number() OVER (ORDER BY x, y, z) AS i FROM (SELECT DISTINCT x, y, z FROM fx_points WHERE surf = 6 AND z < 0.5) q), n AS (SELECT a.i, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM s a, s b),
-  m AS (SELECT i, avg(d) AS d FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS r FROM n) t WHERE r <= 20 GROUP BY 1), e AS (SELECT avg(d) + 2 * stddev_samp(d) AS lim, count(*) AS c FROM m) SELECT x, y, z FROM s JOIN m USING (i), e WHERE d <= lim OR c <= 20""")
-def outlier_filter(spark, d):
-    p = _points(spark, d).where("surf = 6 and z < 0.5").select("scan_id", "x", "y", "z").distinct()
-    return W.without_outliers(p, ["scan_id"], 20, 2.0).select("x", "y", "z")
-
-
 @query()
-def outlier_filter_walls(spark, d):
-    """All wall points, wall by wall, as in the run; outlier_filter is the strip that its all-pairs SQL can do."""
+def outlier_filter(spark, d):
+    """All wall points, wall by wall, as in the run. SQL would compare all pairs of a wall's points."""
     return W.without_outliers(_flat_segments(spark, d), W.WALL, 20, 2.0).select("wall_id", "x", "y", "z")
 
 

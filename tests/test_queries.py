@@ -39,7 +39,7 @@ def test_query_equals_its_sql(spark, db, name):
     assert sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=repr) == want
 
 
-def test_outlier_filter_walls_takes_all_walls(spark):
+def test_outlier_filter_takes_all_walls(spark):
     walls = fixture(spark, SF, "fx_points").where("surf >= 2").toPandas()
     want = []
     for surf, w in walls.groupby("surf"):
@@ -47,7 +47,7 @@ def test_outlier_filter_walls_takes_all_walls(spark):
         mean = np.array([np.sort(np.sqrt(((xyz - p) ** 2).sum(1)))[:20].mean() for p in xyz])
         want += [(surf, *p) for p in xyz[mean <= mean.mean() + 2 * mean.std(ddof=1)].tolist()]
     assert len({w[0] for w in want}) == 5 and len(want) < len(walls)
-    assert sorted(map(tuple, QUERIES["outlier_filter_walls"](spark, SF).collect())) == sorted(want)
+    assert sorted(map(tuple, QUERIES["outlier_filter"](spark, SF).collect())) == sorted(want)
 
 
 def flooded(cells, around):
@@ -68,7 +68,7 @@ def flooded(cells, around):
     return out
 
 
-def test_fine_regions_equal_flooding_of_the_tenth_metre_raster(spark):
+def test_regions_equal_flooding_of_the_tenth_metre_raster(spark):
     four = [(0, 1), (1, 0), (0, -1), (-1, 0)]
     eight = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
     slab = QUERIES["occupancy"](spark, SF).toPandas()
@@ -76,14 +76,14 @@ def test_fine_regions_equal_flooding_of_the_tenth_metre_raster(spark):
     height, width = (max(k) + 1 for k in zip(*walls))
     assert height >= 50 and width >= 80
     comps = flooded(walls, eight)
-    got = {(r.row, r.col): r.label for r in QUERIES["components_fine"](spark, SF).collect()}
+    got = {(r.row, r.col): r.label for r in QUERIES["components"](spark, SF).collect()}
     assert got == {cell: k for k, comp in enumerate(comps, 1) for cell in comp}
-    got = {(r.row, r.col) for r in QUERIES["clean_walls_fine"](spark, SF).collect()}
+    got = {(r.row, r.col) for r in QUERIES["clean_walls"](spark, SF).collect()}
     assert got == {cell for comp in comps if len(comp) >= CFG.min_wall_area_px for cell in comp}
     free = {(r, c) for r in range(height) for c in range(width)} - walls
     holes = {cell for comp in flooded(free, four) if not any(r in (0, height - 1) or c in (0, width - 1) for r, c in comp) for cell in comp}
-    assert {(r.row, r.col) for r in QUERIES["fill_holes_fine"](spark, SF).collect()} == walls | holes
-    share = QUERIES["interior_coverage_fine"](spark, SF).first()
+    assert {(r.row, r.col) for r in QUERIES["fill_holes"](spark, SF).collect()} == walls | holes
+    share = QUERIES["interior_coverage"](spark, SF).first()
     assert share.interior_cells == len(holes) and share.frac == round(sum(r % 2 == 0 for r, _ in holes) / max(len(holes), 1), 9)
 
 
