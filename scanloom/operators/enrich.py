@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,30 @@ LIMITS = {
 }
 
 
+def quantities(ifc_class: str, record: dict, slab_thickness: float) -> dict[str, float]:
+    """Quantities of one document record, the same as the tables below hold."""
+    if ifc_class in ("IfcDoor", "IfcWindow"):
+        return {"Width": record["width"], "Height": record["height"], "Area": record["width"] * record["height"]}
+    if ifc_class == "IfcWall":
+        n, h, t = math.dist(record["start"], record["end"]), record["height"], record["thickness"]
+        return {"Length": n, "Height": h, "Width": t, "GrossFootprintArea": n * t, "GrossSideArea": n * h, "GrossVolume": n * h * t, "NetVolume": n * h * t}
+    ring = [*record["boundary"], *record["boundary"][:1]]
+    area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in itertools.pairwise(ring))) / 2
+    if ifc_class == "IfcSlab":
+        return {"Width": slab_thickness, "GrossArea": area, "GrossVolume": area * slab_thickness}
+    around = sum(math.dist(a, b) for a, b in itertools.pairwise(ring))
+    return {"GrossFloorArea": area, "NetFloorArea": area, "GrossVolume": area * record["height"], "GrossPerimeter": around, "Height": record["height"]}
+
+
+def warnings_of(ifc_class: str, name: str, record: dict) -> list[str]:
+    """Messages of `out_of_range` for one document record."""
+    values = {k: record[k] for k in LIMITS.get(ifc_class, {}) if k in record}
+    if ifc_class == "IfcWall":
+        values["length"] = math.dist(record["start"], record["end"])
+    limits = LIMITS.get(ifc_class, {})
+    return [f"{name} {k} {v:.2f}m outside typical range [{limits[k][0]}, {limits[k][1]}]m" for k, v in values.items() if not limits[k][0] <= v <= limits[k][1]]
+
+
 def wall_quantities(walls: DataFrame) -> DataFrame:
     n, h, t = F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy")), F.col("height"), F.col("thickness")
     return walls.select("scan_id", "wall_id", n.alias("Length"), h.alias("Height"), t.alias("Width"), (n * t).alias("GrossFootprintArea"), (n * h).alias("GrossSideArea"), (n * h * t).alias("GrossVolume"), (n * h * t).alias("NetVolume"))

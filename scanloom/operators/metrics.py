@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 
 
 def truth_labels(annotations: DataFrame, transform: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Cells labelled by rooms in the order of their names; where rooms overlap the later one wins."""
+    """Cells labelled by rooms in the order of their names; where rooms overlap the later one wins.
+
+    A room without a point that is kept still has its number, so numbers name the same rooms whatever is excluded.
+    """
     from .raster import cells
 
     kept = annotations.where(~F.col("class").isin(*exclude) | F.col("class").isNull()) if exclude else annotations
-    names = kept.select("scan_id", "room").distinct().withColumn("label", F.dense_rank().over(Window.partitionBy("scan_id").orderBy("room")))
+    names = annotations.select("scan_id", "room").distinct().withColumn("label", F.dense_rank().over(Window.partitionBy("scan_id").orderBy("room")))
     inside = cells(kept, transform).where("in_bounds").join(F.broadcast(names), ["scan_id", "room"])
     return inside.groupBy("scan_id", "row", "col").agg(F.max("label").alias("label"))
 
 
+def compared(pred: DataFrame, gt: DataFrame, walls: DataFrame | None = None) -> DataFrame:
+    """Cells (scan_id, row, col, pred, gt) of two label maps, 0 where one has none; cells of `walls` do not count."""
+    cell = ["scan_id", "row", "col"]
+    both = pred.select(*cell, F.col("label").alias("pred")).join(gt.select(*cell, F.col("label").alias("gt")), cell, "full").na.fill(0, ["pred", "gt"])
+    return both if walls is None else both.join(walls.select(*cell).distinct(), cell, "left_anti")
+
+
 def crosstab(cells: DataFrame) -> DataFrame:
     """Count of cells per (pred, gt)."""
     return cells.groupBy("scan_id", "pred", "gt").agg(F.count("*").alias("n"))

@@ -1,6 +1,6 @@
-"""Segmentation models as plug-ins: protocols, a registry of back ends, and the drivers that run without one.
+"""Segmentation models as plug-ins: protocols, and the drivers that run without one.
 
-No model weights come with this package. A back end is any object with the methods below; it is called once per
+No model weights come with this package; `backends` loads those that are installed. A back end is any object with the methods below; it is called once per
 scan inside a grouped map, so it must be picklable or build itself on first use.
 """
 
@@ -28,19 +28,6 @@ class AutomaticSegmenter(Protocol):
     def generate(self, image: np.ndarray) -> list[dict]: ...
 
 
-BACKENDS = {"sam1": "segment_anything", "sam2": "sam2", "sam3": "sam3"}
-
-
-def backend_module(config: Config):
-    """The module of the configured back end, or None if it is not installed; ValueError for an unknown name."""
-    import importlib.util
-
-    if config.sam_backend not in BACKENDS:
-        raise ValueError(f"unknown segmenter {config.sam_backend!r}; known: {sorted(BACKENDS)}")
-    name = BACKENDS[config.sam_backend]
-    return importlib.import_module(name) if importlib.util.find_spec(name) else None
-
-
 def image_cells(free: DataFrame, wall_cells: DataFrame | None, covered: DataFrame | None, mode: str = "stack") -> DataFrame:
     """Cells with three channels: free, wall and covered (0 or 255), or free three times."""
     base = free.select(*CELL).withColumn("free", F.lit(255))

@@ -4,16 +4,37 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import enrich
 from .config import Config
 
 _SCHEMA = "scan_id int, entity long, ifc_class string, args string"
 
 
+@dataclass(frozen=True)
+class _Typed:
+    """A value written with its type."""
+
+    kind: str
+    value: object
+
+
+@dataclass
+class Report:
+    """What enrichment has added to a model."""
+
+    elements_enriched: int = 0
+    classification_refs_added: int = 0
+    property_sets_added: int = 0
+    quantity_sets_added: int = 0
+    validation_warnings: list[str] = field(default_factory=list)
+
+
 class _Model:
     def __init__(self):
         self.rows: list[tuple[int, str, str]] = []
@@ -26,6 +47,8 @@ class _Model:
     def _text(v) -> str:
         if v is None:
             return "$"
+        if isinstance(v, _Typed):
+            return f"{v.kind}({_Model._text(v.value)})"
         if isinstance(v, bool):
             return ".T." if v else ".F."
         if isinstance(v, (list, tuple)):
@@ -73,9 +96,54 @@ def _guid(kind: str, name: str) -> str:
     return letters[ord(out[0]) % 4] + out[1:]
 
 
+_QUANTITY = {"Length": "IFCQUANTITYLENGTH", "Width": "IFCQUANTITYLENGTH", "Height": "IFCQUANTITYLENGTH", "Perimeter": "IFCQUANTITYLENGTH", "Area": "IFCQUANTITYAREA", "Volume": "IFCQUANTITYVOLUME"}
+
+
+def _typed(value) -> _Typed:
+    if isinstance(value, bool):
+        return _Typed("IFCBOOLEAN", value)
+    return _Typed("IFCREAL", value) if isinstance(value, float) else _Typed("IFCLABEL", str(value))
+
+
+def _enriched(m: _Model, products: list[tuple[str, str, str, dict]], config: Config) -> Report:
+    """Adds to every product (class, name, reference, its record) what the settings ask for, and counts it.
+
+    Properties are the defaults of the class and quantities follow from the record, as in `enrich`. The dictionary
+    is the built-in table, so a class is referred to by its name.
+    """
+    report = Report()
+    rooted = lambda kind, name, *args: m.add(kind, _guid(kind, name), None, name, None, *args)
+    if config.bsdd_add_classifications and products:
+        source = m.add("IFCCLASSIFICATION", None, None, None, "buildingSMART Data Dictionary (bSDD)", None, None, None)
+    for ifc_class, name, ref, record in products:
+        pset, qto = enrich.PROPERTY_SETS[ifc_class]
+        report.elements_enriched += 1
+        if config.bsdd_add_classifications:
+            link = m.add("IFCCLASSIFICATIONREFERENCE", None, ifc_class, ifc_class, source, None, None)
+            rooted("IFCRELASSOCIATESCLASSIFICATION", f"class-{name}", [ref], link)
+            report.classification_refs_added += 1
+        if config.bsdd_add_psets:
+            values = [m.add("IFCPROPERTYSINGLEVALUE", k, None, _typed(v), None) for k, v in enrich.DEFAULTS[ifc_class].items()]
+            rooted("IFCRELDEFINESBYPROPERTIES", f"pset-{name}", [ref], m.add("IFCPROPERTYSET", _guid(pset, name), None, pset, None, values))
+            report.property_sets_added += 1
+        numbers = enrich.quantities(ifc_class, record, config.ifc_slab_thickness)
+        if config.bsdd_add_qtos and numbers:
+            values = [m.add(next(kind for end, kind in _QUANTITY.items() if k.endswith(end)), k, None, None, float(v), None) for k, v in numbers.items()]
+            rooted("IFCRELDEFINESBYPROPERTIES", f"qto-{name}", [ref], m.add("IFCELEMENTQUANTITY", _guid(qto, name), None, qto, None, None, values))
+            report.quantity_sets_added += 1
+        if config.bsdd_validate_geometry:
+            report.validation_warnings += enrich.warnings_of(ifc_class, name, record)
+    return report
+
+
 def build(doc: dict, config: Config) -> list[tuple[int, str, str]]:
-    """Entity rows of one document: project, site, building, storeys, walls with openings and doors, spaces, slabs."""
-    m = _Model()
+    """Entity rows of one document: project, site, building, storeys, walls with openings, doors and windows, spaces, slabs."""
+    return build_with_report(doc, config)[0]
+
+
+def build_with_report(doc: dict, config: Config) -> tuple[list[tuple[int, str, str]], Report]:
+    """`build`, and what enrichment added; nothing if bsdd_enrich is off."""
+    m, products = _Model(), []
     root = lambda kind, name, *args: m.add(kind, _guid(kind, name), None, name, None, *args)
     units = m.add("IFCUNITASSIGNMENT", [m.add("IFCSIUNIT", "*", ".LENGTHUNIT.", None, ".METRE."), m.add("IFCSIUNIT", "*", ".AREAUNIT.", None, ".SQUARE_METRE."), m.add("IFCSIUNIT", "*", ".VOLUMEUNIT.", None, ".CUBIC_METRE.")])
     body = m.add("IFCGEOMETRICREPRESENTATIONCONTEXT", "Body", "Model", 3, 1e-5, m.add("IFCAXIS2PLACEMENT3D", m.point(0, 0, 0), None, None), None)
@@ -102,28 +170,34 @@ def build(doc: dict, config: Config) -> list[tuple[int, str, str]]:
         ref = root("IFCWALL", f"Wall-{w['id']}", None, at, m.box(body, n, w["thickness"], w["height"], (n / 2, 0.0)), None, ".STANDARD.")
         hosts[w["id"]] = (ref, at, w, level)
         inside[level].append(ref)
-    for d in doc["doors"]:
-        if d["wall"] not in hosts:
-            continue
-        ref, at, w, level = hosts[d["wall"]]
-        hole_at = m.place((d["offset"] + d["width"] / 2, 0, 0), within=at)
-        hole = root("IFCOPENINGELEMENT", f"Opening-{d['id']}", None, hole_at, m.box(body, d["width"], w["thickness"] * 2, d["height"]), None, ".OPENING.")
-        root("IFCRELVOIDSELEMENT", f"void-{d['id']}", ref, hole)
-        door = root("IFCDOOR", f"Door-{d['id']}", None, m.place(within=hole_at), m.box(body, d["width"], 0.05, d["height"]), None, float(d["height"]), float(d["width"]), ".DOOR.", None, None)
-        root("IFCRELFILLSELEMENT", f"fill-{d['id']}", hole, door)
-        inside[level].append(door)
+        products.append(("IfcWall", f"Wall-{w['id']}", ref, w))
+    for kind, rows in (("Door", doc["doors"]), ("Window", doc["windows"])):
+        for d in rows or []:
+            if d["wall"] not in hosts:
+                continue
+            ref, at, w, level = hosts[d["wall"]]
+            hole_at = m.place((d["offset"] + d["width"] / 2, 0, d.get("sill") or 0), within=at)
+            hole = root("IFCOPENINGELEMENT", f"Opening-{d['id']}", None, hole_at, m.box(body, d["width"], w["thickness"] * 2, d["height"]), None, ".OPENING.")
+            root("IFCRELVOIDSELEMENT", f"void-{d['id']}", ref, hole)
+            part = root(f"IFC{kind.upper()}", f"{kind}-{d['id']}", None, m.place(within=hole_at), m.box(body, d["width"], 0.05, d["height"]), None, float(d["height"]), float(d["width"]), f".{kind.upper()}.", None, None)
+            root("IFCRELFILLSELEMENT", f"fill-{d['id']}", hole, part)
+            inside[level].append(part)
+            products.append((f"Ifc{kind}", f"{kind}-{d['id']}", part, d))
     spaces = {s: [] for s in storeys}
     for r in doc["rooms"] or []:
         level = r["storey"] if r["storey"] in storeys else first
         spaces[level].append(root("IFCSPACE", r["name"], None, m.place(within=places[level]), m.prism(body, r["boundary"], r["height"]), r["name"], ".ELEMENT.", ".INTERNAL.", None))
+        products.append(("IfcSpace", f"Space-{r['id']}", spaces[level][-1], r))
         if config.ifc_add_floor_slabs:
             inside[level].append(root("IFCSLAB", f"Slab-{r['id']}", None, m.place((0, 0, -config.ifc_slab_thickness), within=places[level]), m.prism(body, r["boundary"], config.ifc_slab_thickness), None, ".FLOOR."))
+            products.append(("IfcSlab", f"Slab-{r['id']}", inside[level][-1], r))
     for s, ref in storeys.items():
         if inside[s]:
             root("IFCRELCONTAINEDINSPATIALSTRUCTURE", f"in-{s}", inside[s], ref)
         if spaces[s]:
             root("IFCRELAGGREGATES", f"spaces-{s}", ref, spaces[s])
-    return m.rows
+    report = _enriched(m, products, config) if config.bsdd_enrich else Report()
+    return m.rows, report
 
 
 def entities(documents: DataFrame, config: Config) -> DataFrame:

@@ -19,7 +19,8 @@ from scanloom.operators import rooms as Q
 from scanloom.operators import stencil as S
 from scanloom.operators import walls as W
 from scanloom.operators.sealing import bridge_segments, sealed
-from scanloom.operators.segmenters import automatic_rooms, backend_module, refine_rooms
+from scanloom.operators import backends
+from scanloom.operators.segmenters import automatic_rooms, refine_rooms
 from scanloom.plans import ifc
 from scanloom.plans.catalog import QUERIES
 from scanloom.plans.config import Config, check_upstream, flattened, load_config
@@ -170,7 +171,7 @@ def test_automatic_rooms(spark):
     labels, ran = automatic_rooms(image, free, walls, None, g, config)
     assert not ran and set(np.unique(as_mask(labels, m.shape, "label"))) == {0, -1}
     with pytest.raises(ValueError):
-        backend_module(dataclasses.replace(config, sam_backend="other"))
+        backends.prompted(dataclasses.replace(config, sam_backend="other"))
 
 
 def test_relabel_by_masks_merges_open_rooms_only(spark):
