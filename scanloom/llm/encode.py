@@ -10,6 +10,8 @@ import numpy as np
 
 from .shared import LONGEST_REMEMBERED, WORKER_CACHES, Remembered, make_room
 
+#: Words and pieces remembered per worker; their number bounds its memory.
+WORDS, PIECES = 700_000, 700_000
 _SEPARATORS = "\x1c", "\x1d", "\x1e", "\x1f"
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
 #: Words of these characters (no digits but 0-9, no letter whose lower case has two) need no normaliser but lower().
@@ -49,8 +51,8 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_words = self._splits_at_white_space(spec)
-        self.words = Remembered(self._word)
-        self.pieces = Remembered(self._piece)
+        self.words = Remembered(self._word, WORDS)
+        self.pieces = Remembered(self._piece, PIECES)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
 

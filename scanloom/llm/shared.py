@@ -94,23 +94,23 @@ def make_room(keep: dict | None = None) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Entries a Remembered holds, in two generations of half as many; keys beyond that length are not kept.
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 48
+#: Keys of a Remembered beyond that length are not kept.
+LONGEST_REMEMBERED = 48
 
 
 class Remembered(dict):
-    """A dict that computes missing values; when full its entries become the old generation, and older ones go."""
+    """A dict that computes missing values; half full, its entries become the old generation, and older ones go."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, entries: int):
         super().__init__()
-        self.compute, self.old = compute, {}
+        self.compute, self.half, self.old = compute, entries // 2, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
         if len(key) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED // 2:
+            if len(self) >= self.half:
                 self.old = dict(self)
                 super().clear()
             self[key] = value
