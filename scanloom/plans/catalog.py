@@ -792,7 +792,7 @@ def class_lookup(spark, d):
 # ---- metrics --------------------------------------------------------------------------------------------------------
 
 
-@query("[wc] WITH n AS (SELECT surf, row_number() OVER (ORDER BY 'room_' || surf) AS label FROM (SELECT DISTINCT surf FROM fx_points WHERE surf <> 3) s), c AS (SELECT height - 1 - CAST(trunc((y - b_min) / 0.1::DOUBLE) AS BIGINT) AS row, CAST(trunc((x - a_min) / 0.1::DOUBLE) AS BIGINT) AS col, label, width, height FROM fx_points JOIN n USING (surf), tr) SELECT 0 AS scan_id, row, col, CAST(max(label) AS INTEGER) AS label FROM c WHERE row BETWEEN 0 AND height - 1 AND col BETWEEN 0 AND width - 1 GROUP BY 1, 2, 3")
+@query("[wc] WITH n AS (SELECT surf, row_number() OVER (ORDER BY 'room_' || surf) AS label FROM (SELECT DISTINCT surf FROM fx_points) s), c AS (SELECT height - 1 - CAST(trunc((y - b_min) / 0.1::DOUBLE) AS BIGINT) AS row, CAST(trunc((x - a_min) / 0.1::DOUBLE) AS BIGINT) AS col, label, width, height FROM fx_points JOIN n USING (surf), tr WHERE surf <> 3) SELECT 0 AS scan_id, row, col, CAST(max(label) AS INTEGER) AS label FROM c WHERE row BETWEEN 0 AND height - 1 AND col BETWEEN 0 AND width - 1 GROUP BY 1, 2, 3")
 def gt_last_wins(spark, d):
     p = _points(spark, d).select("scan_id", "x", "y", "z", F.concat(F.lit("room_"), "surf").alias("room"), F.when(F.col("surf") == 3, "clutter").otherwise("floor").alias("class"))
     return M.truth_labels(p, _walls(spark, d)[1], exclude=("clutter",))
