@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 #: Labelled documents that the classifier is fitted on at most: those of least hash of their id.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 #: Characters of a word's ends that are hashed, and buckets for its front and for its back.
 GRAM, BUCKETS = 3, 512
 #: Of so many labelled documents one is kept from the fit, to temper the posteriors and to tell their accuracy.
@@ -33,8 +33,8 @@ def _words(text: Column) -> Column:
 
 def _grams(words: Column) -> Column:
     """Buckets of a text's n-grams: for every word the hash of its first characters, and that of its last."""
-    front = F.transform(words, lambda w: F.pmod(F.xxhash64(F.left(w, F.lit(GRAM))), F.lit(BUCKETS)).cast("int"))
-    back = F.transform(words, lambda w: (F.pmod(F.xxhash64(F.right(w, F.lit(GRAM))), F.lit(BUCKETS)) + BUCKETS).cast("int"))
+    front = F.transform(words, lambda w: F.pmod(F.hash(F.substring(w, 1, GRAM)), F.lit(BUCKETS)))
+    back = F.transform(words, lambda w: F.pmod(F.hash(F.substring(w, -GRAM, GRAM)), F.lit(BUCKETS)) + BUCKETS)
     return F.concat(front, back)
 
 
