@@ -123,7 +123,7 @@ def model(spark: SparkSession, config: Config, out: str) -> None:
     numbers = keep(faces.select("scan_id", "room_id", "wall_id", number.alias("number")), "numbers")
     renumbered = lambda t: t.join(numbers, ["scan_id", "room_id", "wall_id"]).withColumn("wall_id", F.col("number")).drop("number")
     doors, faces = renumbered(doors), renumbered(faces)
-    faces = B.snapped_angles(faces, B.dominant_angles(faces, config.wseg_angle_tol_deg), config.wseg_angle_tol_deg)
+    faces = B.grouped(B.snapped_angles(faces, B.dominant_angles(faces, config.wseg_angle_tol_deg), config.wseg_angle_tol_deg), config)
     unique = B.snapped_ends(B.deduplicated(faces, config).drop("rooms", "sources"), config.ifc_snap_tolerance_m)
     doc = B.document(unique, B.carried(doors, faces, config), faces, config)
     doc = keep(doc, "documents")
