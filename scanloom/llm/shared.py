@@ -56,6 +56,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_finished(spark: SparkSession) -> None:
+    """Collect the garbage of the driver's JVM, and with it the shuffles and broadcasts of finished queries on all machines.
+
+    Spark drops those only when the driver happens to collect; in a loop of queries its heap grows before that.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI or plain path, usable on the driver and in executors."""
     from pyarrow import fs
